@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidewell.llm import fingerprint
+from tidewell.llm import fingerprint, mixing
 
 
 def queries() -> dict:
-    return {"op9_canonical_digest": fingerprint.op9_canonical_digest}
+    return {"op1_golden_schedule": mixing.op1_golden_schedule, "op9_canonical_digest": fingerprint.op9_canonical_digest}
 
 
 def oracle_sql() -> dict[str, str]:
