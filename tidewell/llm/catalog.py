@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidewell.llm import fingerprint, mixing
+from tidewell.llm import fingerprint, mixing, simhash
 
 
 def queries() -> dict:
-    return {"op1_golden_schedule": mixing.op1_golden_schedule, "op9_canonical_digest": fingerprint.op9_canonical_digest}
+    return {"op1_golden_schedule": mixing.op1_golden_schedule, "op9_canonical_digest": fingerprint.op9_canonical_digest, "op10_vantage_points": simhash.op10_vantage_points}
 
 
 def oracle_sql() -> dict[str, str]:
