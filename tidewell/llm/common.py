@@ -42,6 +42,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one range of neighbouring ids, and the most ranges.
+BUCKET_ROWS, MOST_BUCKETS = 2_000, 4_096
+
+
+def id_bounds(df: DataFrame, column: str) -> list[int]:
+    """Sorted quantiles of an id column that cut the rows into ranges of about BUCKET_ROWS; MOST_BUCKETS ranges at most."""
+    ids = df.select(F.col(column).cast("long").alias("i"))
+    parts = min(MOST_BUCKETS, max(1, ids.count() // BUCKET_ROWS))
+    if parts < 2:
+        return []
+    found = ids.select(F.percentile_approx("i", [k / parts for k in range(1, parts)], 100 * parts).alias("q")).first().q
+    return sorted(set(found or []))
+
+
+def range_of(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds lie below the key, by binary search; 0 for null."""
+    if not bounds:
+        return F.lit(0)
+    arr = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps, step = [], 1
+    while step <= len(bounds):
+        steps.insert(0, step)
+        step *= 2
+
+    def move(at: Column, by: Column) -> Column:
+        to = at + by
+        return F.when((to <= len(bounds)) & (F.element_at(arr, F.least(to, F.lit(len(bounds)))) < key), to).otherwise(at)
+
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), move)
+
+
 def words(text: Column) -> Column:
     """Words of a text, none for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
