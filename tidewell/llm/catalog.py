@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidewell.llm import fingerprint, mixing, quality_rules, simhash, token_counts, token_files, warc
+from tidewell.llm import bpe, fingerprint, mixing, quality_rules, simhash, token_counts, token_files, warc
 
 
 def queries() -> dict:
-    return {"op1_golden_schedule": mixing.op1_golden_schedule, "op4_segment_reassembly": warc.op4_segment_reassembly, "op5_digest_cache": token_counts.op5_digest_cache, "op6_zstd_dictionary": token_files.op6_zstd_dictionary, "op8_decision_list": quality_rules.op8_decision_list, "op9_canonical_digest": fingerprint.op9_canonical_digest, "op10_vantage_points": simhash.op10_vantage_points}
+    return {"op1_golden_schedule": mixing.op1_golden_schedule, "op2_recursive_merges": bpe.op2_recursive_merges, "op4_segment_reassembly": warc.op4_segment_reassembly, "op5_digest_cache": token_counts.op5_digest_cache, "op6_zstd_dictionary": token_files.op6_zstd_dictionary, "op8_decision_list": quality_rules.op8_decision_list, "op9_canonical_digest": fingerprint.op9_canonical_digest, "op10_vantage_points": simhash.op10_vantage_points}
 
 
 def oracle_sql() -> dict[str, str]:
