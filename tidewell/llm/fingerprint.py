@@ -19,12 +19,13 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import hex64, table
+from tidewell.llm.common import hex64, id_bounds, range_of, table, written
 
 #: A start for the second half of the wide hash.
 SECOND_SEED = "second half"
-#: Rows of one bucket of neighbouring documents, and the most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 2_000, 4_096
+
+#: Repeated hashes that are broadcast at most.
+BROADCAST_ROWS = 500_000
 
 HANGUL = "가-힣"
 
@@ -126,39 +127,28 @@ def wide_hash(canon: Column) -> Column:
     return F.concat(hex64(F.xxhash64(canon)), hex64(F.xxhash64(F.lit(SECOND_SEED), canon)))
 
 
-def colliding(docs: DataFrame, fp: str = "fp", canon: str = "canon") -> DataFrame:
-    """Hashes under which different canonical texts meet, by comparison of their bytes; mostly none.
+def colliding(docs: DataFrame) -> DataFrame:
+    """Hashes under which different canonical texts of docs (text) meet, by comparison of their bytes; mostly none.
 
-    Copies meet in the map-side aggregate already, so a hash with many copies sends one text from each task.
+    Hashes alone are counted first, so that only texts whose hash occurs twice are compared and shuffled. Copies meet in the
+    map-side aggregate already: a hash with many copies sends one text from each task. The repeated hashes are broadcast up
+    to BROADCAST_ROWS of them (under 64 MB); beyond, the join shuffles.
     """
-    return docs.groupBy(fp).agg(F.min(canon).alias("lo"), F.max(canon).alias("hi")).filter(F.col("lo") != F.col("hi")).select(F.col(fp))
+    hashed = docs.select(canonical(F.col("text")).alias("canon")).withColumn("fp", wide_hash(F.col("canon")))
+    twice = written(hashed.groupBy("fp").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("fp").alias("twice")), "repeated-hashes")
+    side = F.broadcast(twice) if twice.count() <= BROADCAST_ROWS else twice
+    met = hashed.join(side, F.col("fp") == F.col("twice"), "left_semi")
+    return met.groupBy("fp").agg(F.min("canon").alias("lo"), F.max("canon").alias("hi")).filter(F.col("lo") != F.col("hi")).select("fp")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint and canonical text of each row of docs (doc_id, text)."""
     base = docs.select("doc_id", canonical(F.col("text")).alias("canon")).withColumn("fp", wide_hash(F.col("canon")))
-    mixed = colliding(base).withColumn("collides", F.lit(True))
+    mixed = colliding(docs).withColumn("collides", F.lit(True))
     joined = base.join(mixed, "fp", "left")
     return joined.select("doc_id", F.when(F.col("collides"), F.concat("fp", F.lit("-"), F.sha2("canon", 256))).otherwise(F.col("fp")).alias("fingerprint"), "canon")
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds lie below the key, by binary search."""
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*map(F.lit, bounds)) if len(bounds) < 3 else F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
-    steps, step = [], 1
-    while step <= len(bounds):
-        steps.insert(0, step)
-        step *= 2
-
-    def move(at: Column, by: Column) -> Column:
-        to = at + by
-        return F.when((to <= len(bounds)) & (F.element_at(arr, F.least(to, F.lit(len(bounds)))) < key), to).otherwise(at)
-
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), move)
-
-
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with next_text: the text of the next document in descending order of doc_id, the first one's after the last.
 
@@ -166,17 +156,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     a bucket, and the first row of the next bucket that has rows follows its last one. No task sees the whole order.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    n = docs.count()
-    parts = min(MOST_BUCKETS, max(1, n // BUCKET_ROWS))
-    bounds = []
-    if parts > 1:
-        found = docs.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts).alias("q")).first().q
-        bounds = sorted(set(found))
+    bounds = id_bounds(docs, "doc_id")
     tie = F.xxhash64("text")
-    rows = docs.withColumns({"_key": key, "_tie": tie}).withColumn("_bucket", _bucket(F.col("_key"), bounds))
+    rows = docs.withColumns({"_key": key, "_tie": tie}).withColumn("_bucket", range_of(F.col("_key"), bounds))
     order = [F.desc("_key"), F.col("_tie"), F.col("text")]
     first = rows.groupBy("_bucket").agg(F.min_by(F.struct("text"), F.struct((-(F.col("_key") + 1)).alias("a"), F.col("_tie").alias("b"), F.col("text").alias("c"))).alias("_head"))
-    # buckets are few (MOST_BUCKETS at most), so that their order fits one task
+    # buckets are few (common.MOST_BUCKETS at most), so that their order fits one task
     heads = first.withColumns({"_after": F.lead("_head").over(Window.orderBy(F.desc("_bucket"))), "_top": F.first("_head").over(Window.orderBy(F.desc("_bucket")))})
     heads = heads.select("_bucket", F.coalesce("_after", "_top").alias("_after"))
     own = rows.withColumn("_lead", F.lead(F.struct("text")).over(Window.partitionBy("_bucket").orderBy(*order)))
@@ -188,7 +173,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 def op9_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, with likenesses (1 for equal canonical texts, else 0)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    mixed = colliding(docs.select(canonical(F.col("text")).alias("canon")).withColumn("fp", wide_hash(F.col("canon")))).withColumn("collides", F.lit(True))
+    mixed = colliding(docs).withColumn("collides", F.lit(True))
     n = F.char_length("text").cast("long")
     half = F.floor(n / 2).cast("int")
     pairs = with_next(docs).withColumn("n_chars", n)
