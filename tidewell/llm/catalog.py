@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bpe, fingerprint, mixing, quality_rules, simhash, token_counts, token_files, warc
+from tidewell.llm import bpe, fingerprint, kneser_ney, line_dedup, mixing, quality_rules, simhash, token_counts, token_files, warc
+
+
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {"op1_golden_schedule": mixing.op1_golden_schedule, "op2_recursive_merges": bpe.op2_recursive_merges, "op4_segment_reassembly": warc.op4_segment_reassembly, "op5_digest_cache": token_counts.op5_digest_cache, "op6_zstd_dictionary": token_files.op6_zstd_dictionary, "op8_decision_list": quality_rules.op8_decision_list, "op9_canonical_digest": fingerprint.op9_canonical_digest, "op10_vantage_points": simhash.op10_vantage_points}
+    return {
+        "pipeline": _pipeline,
+        "op1_golden_schedule": mixing.op1_golden_schedule,
+        "op2_recursive_merges": bpe.op2_recursive_merges,
+        "op3_kneser_ney": kneser_ney.op3_kneser_ney,
+        "op4_segment_reassembly": warc.op4_segment_reassembly,
+        "op5_digest_cache": token_counts.op5_digest_cache,
+        "op6_zstd_dictionary": token_files.op6_zstd_dictionary,
+        "op7_patience_alignment": line_dedup.op7_patience_alignment,
+        "op8_decision_list": quality_rules.op8_decision_list,
+        "op9_canonical_digest": fingerprint.op9_canonical_digest,
+        "op10_vantage_points": simhash.op10_vantage_points,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
