@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm.common import table
-from tidewell.llm.tokens import ChunkEncoder
+from tidewell.llm.tokens import ChunkEncoder, slices
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Bytes of a word merged by heap, words of one recursive query, remembered words, documents and ids handled at once.
-LONG, QUERY_WORDS, MOST_WORDS, DOCS, IDS = 512, 20_000, 300_000, 1_000, 1_000_000
+#: Bytes of a word merged by heap, words of one recursive query, remembered words, ids handled at once.
+LONG, QUERY_WORDS, MOST_WORDS, IDS = 512, 20_000, 300_000, 1_000_000
 
 MERGE = """
 with recursive turn(word, ids, step) as (
@@ -158,8 +158,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = WordEncoder(path, pattern)
         for b in batches:
-            for at in range(0, len(b), DOCS):
-                some = b.iloc[at : at + DOCS]
+            for part in slices(b["text"]):
+                some = b.iloc[part]
                 yield pd.DataFrame({"doc_id": some["doc_id"].astype("Int64"), "ids": encoder.encode(list(some["text"]))})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")

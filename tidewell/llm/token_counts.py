@@ -20,10 +20,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import fresh_path, table
-from tidewell.llm.tokens import ChunkEncoder, tokenizer_digest
+from tidewell.llm.tokens import ChunkEncoder, slices, tokenizer_digest
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
+#: Documents that a task holds decompressed.
+ROWS = 500
 CACHE = "content binary, tokenizer string, n_bytes long, n_tokens long"
 
 
@@ -56,9 +58,11 @@ def counted(docs: DataFrame, cache: str, tokenizer: str) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, undo = ChunkEncoder(tokenizer), zstandard.ZstdDecompressor()
         for b in batches:
-            texts = [undo.decompress(p).decode("utf-8", "surrogatepass") for p in b["packed"]]
-            sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
-            yield pd.DataFrame({"content": b["content"], "tokenizer": version, "n_bytes": sizes, "n_tokens": [len(x) // 4 for x in encoder.encode(texts)]})
+            for at in range(0, len(b), ROWS):
+                raw = [undo.decompress(p) for p in b["packed"].iloc[at : at + ROWS]]
+                texts = [x.decode("utf-8", "surrogatepass") for x in raw]
+                counts = [len(x) // 4 for part in slices(texts) for x in encoder.encode(texts[part])]
+                yield pd.DataFrame({"content": b["content"].iloc[at : at + ROWS], "tokenizer": version, "n_bytes": [*map(len, raw)], "n_tokens": counts})
 
     # the copies of a content meet in each task first, then in one row by digest; the join by digest needs no other shuffle
     distinct = keyed.select("content", "text").mapInPandas(_packed, "content binary, packed binary").groupBy("content").agg(F.first("packed").alias("packed"))

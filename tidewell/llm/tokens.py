@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 
@@ -28,6 +28,22 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()
 
 
+#: Characters of the texts that are split at once.
+SLICE = 1 << 20
+
+
+def slices(texts: Sequence[str | None]) -> Iterator[slice]:
+    """Runs of texts of about SLICE characters."""
+    lo, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held >= SLICE:
+            yield slice(lo, i + 1)
+            lo, held = i + 1, 0
+    if lo < len(texts):
+        yield slice(lo, len(texts))
+
+
 class ChunkEncoder:
     """Ids of texts as bytes of little-endian unsigned 32-bit numbers."""
 
@@ -49,7 +65,8 @@ class ChunkEncoder:
         """The chunks of a text; all but the first without the space that they begin with."""
         return BREAK.split(text) if ODD_SPACE.search(text) else text.split(" ")
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
+    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+        """Ids of each text; give it slices() of many texts, whose chunks it holds at once."""
         parts = [None if t and any(s in t for s in self.special) else self.chunks(t) if t else [] for t in texts]
         if len(self.known) > MOST_CHUNKS:
             self.known.clear()
@@ -60,7 +77,6 @@ class ChunkEncoder:
         of, head = self.known.__getitem__, iter(heads)
         out = [b"".join((of(next(head)), *map(of, p[1:]))) if p else b"" for p in parts]
         whole = [i for i, p in enumerate(parts) if p is None]
-        texts = list(texts)
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
         return out
