@@ -333,13 +333,13 @@ def wn3(spark, d) -> DataFrame:
 
 
 @query("wn4", """
-WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_ms(ts) - epoch_ms(TIMESTAMP '2024-01-01 00:00:00') AS t, CAST(round(value * 100) AS BIGINT) * 10 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00') AS t, CAST(round(value * 100) AS BIGINT) * 10000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events),
 clock AS (SELECT user_id, event_id, rn, t + ms AS until FROM e WHERE rn = 1 UNION ALL SELECT e.user_id, e.event_id, e.rn, greatest(e.t, c.until) + e.ms FROM clock c JOIN e ON e.user_id = c.user_id AND e.rn = c.rn + 1)
 SELECT event_id, until FROM clock""")
 def wn4(spark, d) -> DataFrame:
     """Playback clock of each stream, against a recursive loop."""
-    t = F.unix_millis(F.col("ts").cast("timestamp")) - 1704067200000
-    sent = S.read(spark, d, "events").select("user_id", "event_id", t.alias("t"), (F.round(F.col("value") * 100).cast("long") * 10).alias("ms"))
+    t = F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000
+    sent = S.read(spark, d, "events").select("user_id", "event_id", t.alias("t"), (F.round(F.col("value") * 100).cast("long") * 10000).alias("ms"))
     return V.playback_clock(sent, "user_id", "t", "ms", "event_id").select("event_id", "until")
 
 
