@@ -6,7 +6,7 @@ import importlib
 
 from tidewell.plans.registry import ORACLES, QUERIES
 
-MODULES = ("relational", "retrieval", "text", "lifecycle", "triage", "turns", "evaluation")
+MODULES = ("sources", "relational", "retrieval", "text", "lifecycle", "triage", "turns", "evaluation", "streams")
 
 for _name in MODULES:
     importlib.import_module(f"tidewell.plans.{_name}")
