@@ -71,11 +71,11 @@ class ChunkEncoder:
         if len(self.known) > MOST_CHUNKS:
             self.known.clear()
         # a chunk after the first is kept under its own text, the first of a text under two spaces and its text
-        heads = ["  " + p[0] for p in parts if p]
-        new = list({c for p in parts if p for c in p[1:]}.union(heads).difference(self.known))
+        heads = ["  " + p.pop(0) for p in parts if p]
+        new = list(set(heads).union(*filter(None, parts)).difference(self.known))
         self.known.update(zip(new, self._encode([c[2:] if c.startswith("  ") else " " + c for c in new]), strict=True))
         of, head = self.known.__getitem__, iter(heads)
-        out = [b"".join((of(next(head)), *map(of, p[1:]))) if p else b"" for p in parts]
+        out = [b"" if p is None or not t else b"".join((of(next(head)), *map(of, p))) for t, p in zip(texts, parts, strict=True)]
         whole = [i for i, p in enumerate(parts) if p is None]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = ids
