@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +74,25 @@ def range_of(key: Column, bounds: list[int]) -> Column:
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), move)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc (a struct of all columns, whatever they are called) and row: a number for each row that every scan finds again.
+
+    The number is made of the row's file and its place there, so it doesn't depend on how a scan is split or on executors
+    that come and go. The list of files, which the driver has anyway, is broadcast. Rows that aren't read from files are
+    written first.
+    """
+    try:
+        meta = docs.metadataColumn("_metadata")
+        docs.select(meta["row_index"])
+    except AnalysisException:
+        docs = written(docs, "rows")
+        meta = docs.metadataColumn("_metadata")
+    paths = sorted(r.path for r in docs.select(meta["file_path"].alias("path")).distinct().collect())
+    files = docs.sparkSession.createDataFrame([*enumerate(paths)], "file long, path string")
+    placed = docs.select(F.struct("*").alias("doc"), meta["file_path"].alias("path"), meta["row_index"].alias("n"))
+    return placed.join(F.broadcast(files), "path").select("doc", (F.shiftleft("file", 40) + F.col("n")).alias("row"))
+
+
 def words(text: Column) -> Column:
     """Words of a text, none for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import n_words, table, written
+from tidewell.llm.common import n_words, numbered, table, written
 
 #: Words of a block.
 BLOCK = 1024
@@ -127,13 +127,13 @@ def repeated(docs: DataFrame, seed: int = 42, block: int = BLOCK) -> DataFrame:
 
     A document of no words is in no block; it has nothing to add to any source and stays as it is.
     """
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-    taken = mix(keyed.select("doc_id", "text", "source", F.col("_row").alias("row_id")), seed, block)
-    times = taken.select(F.col("row_id").alias("_row"), F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times")).filter("_times > 0")
-    return keyed.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rows = numbered(docs)
+    taken = mix(rows.select("doc.doc_id", "doc.text", "doc.source", F.col("row").alias("row_id")), seed, block)
+    times = taken.select(F.col("row_id").alias("row"), F.when(F.col("size") == 0, 1).otherwise(F.round(F.col("taken") / F.col("size"))).cast("int").alias("times")).filter("times > 0")
+    return rows.join(times, "row").select("doc", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("doc.*")
 
 
 def op1_golden_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that the mix takes of every document, with its source's size and target."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", F.monotonically_increasing_id().alias("row_id"))
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    rows = numbered(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mix(rows.select("doc.*", F.col("row").alias("row_id"))).select("doc_id", "size", "source_size", "target", "taken")

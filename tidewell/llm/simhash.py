@@ -13,7 +13,7 @@ rows as it has members. Copies with equal fingerprints are one member.
 Defined cases: a null or empty text has no words and the fingerprint zero, which is linked like any other; a text of fewer
 words than a shingle is one shingle; rows with the same doc_id or text are each returned; a null doc_id is returned, and a
 component of null ids alone has a null component_id; an empty table gives an empty result; other columns are kept by
-near_duplicates() and names that clash with its own are no matter, since it joins on columns of its own.
+kept_documents(), and their names are no matter, since working columns stand beside a struct of them.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import hex64, table, written
+from tidewell.llm.common import hex64, numbered, table, written
 from tidewell.llm.graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -202,12 +202,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, find: Callable[[Dat
 
 
 def kept_documents(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs without the near copies: of each group only the rows with its smallest doc_id, and of equal rows there one."""
-    keyed = docs.withColumn("_key", F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.monotonically_increasing_id().alias("n")))
-    found = near_duplicates(keyed.select(F.col("_key.n").alias("doc_id"), "text"), shingle).select(F.col("doc_id").alias("n"), F.col("component_id").alias("_group"))
-    ids = keyed.select(F.col("_key").alias("key"), F.col("_key.n").alias("n"))
-    first = found.join(ids, "n").groupBy("_group").agg(F.min("key").alias("key")).select(F.col("key.n").alias("_keep"))
-    return keyed.join(first, F.col("_key.n") == F.col("_keep"), "left_semi").select(*docs.columns)
+    """docs without the near copies: of each group only the row with its smallest doc_id, nulls last, the first on a tie."""
+    rows = numbered(docs)
+    keys = rows.select("row", F.col("doc.doc_id").isNull().alias("last"), F.col("doc.doc_id").alias("id"))
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "doc.text"), shingle).select(F.col("doc_id").alias("row"), "component_id")
+    first = found.join(keys, "row").groupBy("component_id").agg(F.min(F.struct("last", "id", "row")).alias("k")).select(F.col("k.row").alias("row"))
+    return rows.join(first, "row", "left_semi").select("doc.*")
 
 
 def op10_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import fresh_path, table, written
+from tidewell.llm.common import fresh_path, numbered, table, written
 
 #: Bytes of a segment and of a chunk, least payload that may be a revisit, records of a file.
 SEGMENT, CHUNK, MIN_REVISIT, FILE_RECORDS = 8192, 4096, 100, 5_000
@@ -89,7 +89,8 @@ def page_records(record_id: str, page_id: int | None, url: str | None, html: byt
 
 def write_archive(pages: DataFrame, path: str, segment: int = SEGMENT) -> str:
     """Writes pages (page_id, url, html) as gzipped WARC files to the new folder path."""
-    keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("n"))
+    rows = numbered(pages.select("page_id", "url", "html"))
+    keyed = rows.select("doc.page_id", "doc.url", F.coalesce("doc.html", F.lit("")).alias("html"), F.col("row").alias("n"))
     keyed = keyed.withColumns({"digest": F.sha2("html", 256), "record_id": F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("none")), F.lit(":"), F.col("n").cast("string"))})
     order = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id").alias("p"), F.col("n").alias("n"))
     groups = keyed.filter(F.octet_length("html") >= MIN_REVISIT).groupBy("digest").agg(F.count("*").alias("c"), F.min_by("record_id", order).alias("first"))
