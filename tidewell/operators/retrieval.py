@@ -172,7 +172,7 @@ def nearest_lists(centres: np.ndarray, probes: int) -> Callable[[Column], Column
     return run
 
 
-def bucketed_top_k(queries: DataFrame, chunks: DataFrame, k: int, key: list[str], lists: int = 16, probes: int = 6) -> DataFrame:
+def bucketed_top_k(queries: DataFrame, chunks: DataFrame, k: int, key: list[str], lists: int = 32, probes: int = 22) -> DataFrame:
     """Approximate neighbours: chunks in lists by nearest centre, questions compared with their probes nearest lists."""
     centres = centroids(chunks, lists)
     indexed = chunks.withColumn("list", F.element_at(nearest_lists(centres, 1)(F.col("vec")), 1))
