@@ -4,16 +4,15 @@ The model is of order ORDER over the characters of trusted documents (quality 1)
 that it doesn't learn from sets the thresholds: a document is rejected when its perplexity is above MARGIN times the QUANTILE
 of its language there. A language without such documents takes the quantile of all.
 
-Work is dealt by blocks of documents: a block is a split of an input file (cut further where splits are large), which every
-scan of the files finds again. The first scan sends each block's distinct character n-grams with their trusted counts. Counts of all
+Work is dealt by blocks of documents: a block is a run of BLOCK_ROWS rows of an input file, which every scan of the files
+finds again. The first scan sends each block's distinct character n-grams with their trusted counts. Counts of all
 orders come from joins and aggregates by n-gram, context and suffix, sharded by those keys, and so do the probabilities of all
 n-grams that any block asks for; no task holds the whole model, and what is sent grows with the blocks. The second scan
 sends each block's texts compressed to where its n-grams' probabilities have come together, and sums them by document.
 
 Defined cases: a null text is the empty text, whose perplexity is that of ending at once; a null language is a language of its
 own; a document with several labels is trusted if one says so; a table without trusted documents rejects nothing; rows with
-the same doc_id are each scored; an empty table gives an empty result; other columns are kept by accepted(). docs must be
-read from files (as by spark.read).
+the same doc_id are each scored; an empty table gives an empty result; other columns are kept by accepted().
 """
 
 from __future__ import annotations
@@ -27,13 +26,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import table, written
+from tidewell.llm.common import numbered, table, written
 
-ORDER = 5
+ORDER = 4
 #: One trusted document in so many only calibrates; the quantile of perplexities there, and how far beyond it rejection begins.
 HELD_OUT, QUANTILE, MARGIN = 5, 0.99, 1.3
-#: Bytes of a file split that make one block, characters handled at once, trusted ids that are broadcast at most.
-BLOCK_BYTES, SLICE, BROADCAST_ROWS = 16 << 20, 1 << 20, 2_000_000
+#: Rows of a block, characters handled at once, trusted ids that are broadcast at most.
+BLOCK_ROWS, SLICE, BROADCAST_ROWS = 8_192, 1 << 19, 2_000_000
 START, END = "\x02", "\x03"
 PAD = START * (ORDER - 1)
 SPACES = re.compile(r"\s+")
@@ -76,37 +75,40 @@ def _inner(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(inside), text[:n][inside]
 
 
-def distinct_grams(texts: list[str | None], trusted: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Hashes, characters and trusted counts of the distinct n-grams of the texts."""
-    hashes, grams, counts = [], [], []
+Grams = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def merged(parts: list[Grams]) -> Grams:
+    """Hashes, code points (a row each) and counts of the distinct n-grams of several such triples."""
+    number, unique = pd.factorize(np.concatenate([p[0] for p in parts]))
+    first = np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1))
+    return unique, np.concatenate([p[1] for p in parts])[first], np.bincount(number, np.concatenate([p[2] for p in parts]), len(unique)).astype(np.int64)
+
+
+def distinct_grams(texts: list[str | None], trusted: np.ndarray) -> Grams:
+    """Distinct n-grams of the texts, with how often each stands in trusted ones."""
+    out: list[Grams] = [(np.zeros(0, np.uint64), np.zeros((0, ORDER), "<u4"), np.zeros(0, np.int64))]
     for lo, hi in _slices(texts):
         codes, starts = characters(texts[lo:hi])
         places, text = _inner(codes, starts)
         number, unique = pd.factorize(gram_hashes(codes)[places])
         first = places[np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1))]
-        hashes.append(unique)
-        grams.append(codes[first[:, None] + np.arange(ORDER)])
-        counts.append(np.bincount(number[trusted[lo:hi][text]], minlength=len(unique)))
-    if not hashes:
-        return np.zeros(0, np.uint64), [], np.zeros(0, np.int64)
-    number, unique = pd.factorize(np.concatenate(hashes))
-    first = np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1))
-    text = np.concatenate(grams)[first].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-    return unique, [text[i : i + ORDER] for i in range(0, len(text), ORDER)], np.bincount(number, np.concatenate(counts), len(unique)).astype(np.int64)
+        counts = np.bincount(number[trusted[lo:hi][text]], minlength=len(unique))
+        out = [merged([*out, (unique, codes[first[:, None] + np.arange(ORDER)], counts)])]
+    return out[0]
 
 
 def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Distinct n-grams of each block in this task."""
-    held: dict[int, list[tuple]] = {}
+    held: dict[int, Grams] = {}
     for b in batches:
         for block, rows in b.groupby("block", sort=False):
-            held.setdefault(block, []).append(distinct_grams(list(rows["text"]), rows["trusted"].to_numpy(bool)))
-    for block, parts in held.items():
-        number, unique = pd.factorize(np.concatenate([p[0] for p in parts]))
-        first = np.flatnonzero(np.diff(np.maximum.accumulate(number), prepend=-1))
-        grams = [g for p in parts for g in p[1]]
-        counts = np.bincount(number, np.concatenate([p[2] for p in parts]), len(unique)).astype(np.int64)
-        yield pd.DataFrame({"block": block, "gram": [grams[i] for i in first], "n": counts})
+            new = distinct_grams(list(rows["text"]), rows["trusted"].to_numpy(bool))
+            held[block] = merged([held[block], new]) if block in held else new
+    for block, (_, codes, counts) in held.items():
+        for at in range(0, len(counts), 50_000):
+            text = codes[at : at + 50_000].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+            yield pd.DataFrame({"block": block, "gram": [text[i : i + ORDER] for i in range(0, len(text), ORDER)], "n": counts[at : at + 50_000]})
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,7 +127,8 @@ def _score(key: tuple, packed: pd.DataFrame, known: pd.DataFrame) -> pd.DataFram
     lookup = np.zeros(0, np.uint64)
     if len(known):
         lookup = gram_hashes(np.frombuffer("".join(known["gram"]).encode("utf-32-le", "surrogatepass"), "<u4"))[::ORDER]
-    index, logs, undo, out = pd.Index(lookup), known["log_p"].to_numpy(float), zstandard.ZstdDecompressor(), []
+    lookup, first = np.unique(lookup, return_index=True)  # tasks that share a block ask for the same n-grams
+    index, logs, undo, out = pd.Index(lookup), known["log_p"].to_numpy(float)[first], zstandard.ZstdDecompressor(), []
     for ids, sizes, blob in zip(packed["ids"], packed["sizes"], packed["packed"], strict=True):
         raw, ends = undo.decompress(blob), np.cumsum([0, *sizes])
         texts = [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -179,50 +182,43 @@ def probabilities(grams: DataFrame) -> DataFrame:
     return below.select(F.col("g").alias("gram"), F.log("p").alias("log_p"))
 
 
-def _blocks(docs: DataFrame) -> Column:
-    """A number for the file split of a row, cut by hash where splits are larger than BLOCK_BYTES."""
-    size = docs.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    cuts = max(1, -(-size // BLOCK_BYTES))
-    return F.xxhash64(F.input_file_name(), F.input_file_block_start(), F.pmod(F.xxhash64("doc_id"), F.lit(cuts)))
-
-
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """_row, perplexity and trusted (0 no, 1 learned from, 2 calibrates) of docs, which has _row."""
+def scored(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """row, lang, perplexity and trusted (0 no, 1 learned from, 2 calibrates) of the numbered() rows."""
     ids = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
     ids = ids.withColumn("role", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0, 2).otherwise(1))
     side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    keyed = docs.select(F.col("_row").alias("row"), "doc_id", "text", _blocks(docs).alias("block")).join(side, "doc_id", "left")
+    keyed = rows.select("row", "doc.doc_id", "doc.text", F.floor(F.col("row") / BLOCK_ROWS).alias("block")).join(side, "doc_id", "left")
     asked = written(keyed.select("block", "text", (F.coalesce("role", F.lit(0)) == 1).alias("trusted")).mapInPandas(_gather, "block long, gram string, n long"), "asked")
     grams = written(asked.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     known = asked.select("block", "gram").join(probabilities(grams), "gram")
     packed = keyed.select("block", "row", "text").mapInPandas(_packed, "block long, ids array<long>, sizes array<long>, packed binary")
     sums = packed.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_score, "row long, log_p double, n long")
-    roles = docs.select("_row", "doc_id", "lang").join(side, "doc_id", "left").select("_row", "lang", F.coalesce("role", F.lit(0)).alias("trusted"))
-    return written(sums.select(F.col("row").alias("_row"), F.exp(-F.col("log_p") / F.col("n")).alias("perplexity")), "perplexities").join(roles, "_row")
+    roles = rows.select("row", "doc.doc_id", "doc.lang").join(side, "doc_id", "left").select("row", "lang", F.coalesce("role", F.lit(0)).alias("trusted"))
+    return written(sums.select("row", F.exp(-F.col("log_p") / F.col("n")).alias("perplexity")), "perplexities").join(roles, "row")
 
 
-def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """_row, lang, perplexity, threshold, kept of docs (_row, doc_id, text, lang)."""
-    found = scored(docs, labels)
-    cut = lambda df: df.agg(F.percentile_approx("perplexity", QUANTILE, 10_000).alias("q"))
+def judged(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """row, lang, perplexity, threshold, kept of the numbered() rows, whose doc has doc_id, text, lang."""
+    found = scored(rows, labels)
+    quantile = F.percentile_approx("perplexity", QUANTILE, 10_000).alias("q")
     calibration = found.filter("trusted = 2")
-    by_lang = calibration.groupBy("lang").agg(F.percentile_approx("perplexity", QUANTILE, 10_000).alias("q")).withColumnRenamed("lang", "_lang")
-    overall = cut(calibration).first().q
-    overall = cut(found.filter("trusted = 1")).first().q if overall is None else overall
-    found = found.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
+    by_lang = calibration.groupBy(F.col("lang").alias("own")).agg(quantile)
+    overall = calibration.agg(quantile).first().q
+    overall = found.filter("trusted = 1").agg(quantile).first().q if overall is None else overall
+    found = found.join(by_lang, F.col("lang").eqNullSafe(F.col("own")), "left")
     found = found.withColumn("threshold", MARGIN * F.coalesce("q", F.lit(overall).cast("double")))
-    return found.select("_row", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
+    return found.select("row", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the classifier keeps."""
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-    rejected = judged(keyed, labels).filter("not kept").select("_row")
-    return keyed.join(rejected, "_row", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    rejected = judged(rows, labels).filter("not kept").select("row")
+    return rows.join(rejected, "row", "left_anti").select("doc.*")
 
 
 def op3_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perplexity, threshold of its language and verdict of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.monotonically_increasing_id().alias("_row"))
-    found = judged(docs, table(spark, sf_dir, "labels")).drop("lang")
-    return docs.select("_row", "doc_id", "lang").join(found, "_row").select("doc_id", "lang", "perplexity", "threshold", "kept")
+    rows = numbered(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    found = judged(rows, table(spark, sf_dir, "labels")).drop("lang")
+    return rows.select("row", "doc.doc_id", "doc.lang").join(found, "row").select("doc_id", "lang", "perplexity", "threshold", "kept")
