@@ -36,7 +36,7 @@ def rebuilt_paragraph(lines: Column) -> Column:
 
     def add(acc: Column, line: Column) -> Column:
         broken = F.rlike(acc, F.lit(r"\p{L}-$")) & F.rlike(line, F.lit(r"^\p{Ll}"))
-        return F.when(acc == "", line).when(broken, F.concat(F.expr("''"), F.regexp_replace(acc, "-$", ""), line)).otherwise(F.concat(acc, F.lit(" "), line))
+        return F.when(acc == "", line).when(broken, F.concat(F.regexp_replace(acc, "-$", ""), line)).otherwise(F.concat(acc, F.lit(" "), line))
 
     return F.aggregate(kept, F.lit(""), add)
 
