@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import fresh_path, id_bounds, range_of, table
 from tidewell.llm.token_counts import tokenizer_path
-from tidewell.llm.tokens import ChunkEncoder
+from tidewell.llm.tokens import ChunkEncoder, slices
 
 END_ID = 0
 #: Documents the dictionary is trained on at most, its bytes, documents of a shard, shard starts that are broadcast at most.
@@ -51,20 +51,25 @@ def _context(raw: bytes) -> dict:
 def write_shards(docs: DataFrame, path: str, tokenizer: str) -> str:
     """Writes docs (doc_id, text) to path/dictionary and path/shards; returns path."""
     spark = docs.sparkSession
-    sample = docs.select("text").orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE).collect()
+    # the least hashes name the sample, so that tasks send the driver hashes, and only the sample's texts follow
+    hashed = docs.select("text", F.xxhash64("doc_id", "text").alias("h"))
+    last = hashed.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h").alias("h")).first().h
+    sample = [] if last is None else sorted((r.text for r in hashed.filter(F.col("h") <= last).select("text").limit(SAMPLE).collect()), key=lambda t: t or "")
     encoder = ChunkEncoder(tokenizer)
     width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else 4
     kind = f"<u{width}"
     end = np.array([END_ID], "<u4").tobytes()
-    raw = train_dictionary([np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in encoder.encode([r.text for r in sample])])
+    raw = train_dictionary([np.frombuffer(x + end, "<u4").astype(kind).tobytes() for part in slices(sample) for x in encoder.encode(sample[part])])
     name = dictionary_hash(raw)
     spark.createDataFrame([(name, raw)], "dictionary string, raw binary").write.parquet(f"{path}/dictionary")
 
     def press(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, z = ChunkEncoder(tokenizer), zstandard.ZstdCompressor(level=3, write_content_size=True, **_context(raw))
         for b in batches:
-            ids = [np.frombuffer(x + end, "<u4") for x in own.encode(list(b["text"]))]
-            yield pd.DataFrame({"bucket": b["bucket"], "doc_id": b["doc_id"], "tie": b["tie"], "n_tokens": [len(x) for x in ids], "frame": [z.compress(x.astype(kind).tobytes()) for x in ids]})
+            for part in slices(b["text"]):
+                some = b.iloc[part]
+                ids = [np.frombuffer(x + end, "<u4") for x in own.encode(list(some["text"]))]
+                yield pd.DataFrame({"bucket": some["bucket"], "doc_id": some["doc_id"].astype("Int64"), "tie": some["tie"], "n_tokens": [len(x) for x in ids], "frame": [z.compress(x.astype(kind).tobytes()) for x in ids]})
 
     def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows come sorted; a shard ends with its bucket or at SHARD_DOCS documents."""

@@ -17,7 +17,9 @@ import numpy as np
 BREAK = re.compile(r" (?=\S)")
 ODD_SPACE = re.compile(r" (?:\s|$)")
 #: Chunks that are remembered before the memory is emptied; the ids don't depend on it.
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 600_000
+#: Chunks that are encoded as one text.
+JOINED = 20_000
 
 
 def tokenizer_digest(path: str) -> str:
@@ -56,10 +58,32 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        # bytes of each token: in a byte-level vocabulary every character of a token's name is one
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that begin with a space and a non-space: as one text, cut where the chunks end.
+
+        Where the tokens' bytes don't end with the chunks, the chunks are encoded one by one.
+        """
+        out: list[bytes] = []
+        for at in range(0, len(chunks), JOINED):
+            some = chunks[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends, stops = np.cumsum(self.sizes[ids]), np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in some])
+            cuts = np.searchsorted(ends, stops, side="right")
+            if len(ids) and np.array_equal(ends[cuts - 1], stops):
+                out += [ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+            else:
+                out += self._encode(some)
+        return out
+
     @staticmethod
     def chunks(text: str) -> list[str]:
         """The chunks of a text; all but the first without the space that they begin with."""
@@ -72,8 +96,10 @@ class ChunkEncoder:
             self.known.clear()
         # a chunk after the first is kept under its own text, the first of a text under two spaces and its text
         heads = ["  " + p.pop(0) for p in parts if p]
-        new = list(set(heads).union(*filter(None, parts)).difference(self.known))
-        self.known.update(zip(new, self._encode([c[2:] if c.startswith("  ") else " " + c for c in new]), strict=True))
+        first = list(set(heads).difference(self.known))
+        self.known.update(zip(first, self._encode([c[2:] for c in first]), strict=True))
+        new = list(set().union(*filter(None, parts)).difference(self.known))
+        self.known.update(zip(new, self._encode_chunks([" " + c for c in new]), strict=True))
         of, head = self.known.__getitem__, iter(heads)
         out = [b"" if p is None or not t else b"".join((of(next(head)), *map(of, p))) for t, p in zip(texts, parts, strict=True)]
         whole = [i for i, p in enumerate(parts) if p is None]
