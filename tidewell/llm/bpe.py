@@ -154,55 +154,81 @@ class WordEncoder:
         return [np.frombuffer(b"".join((of(next(head)), *map(of, p))) if t else b"", "<i4") for t, p in zip(texts, parts, strict=True)]
 
 
+class WordDecoder:
+    """Bytes that lists of ids stand for."""
+
+    def __init__(self, path: str) -> None:
+        tokens = read_ranks(path)
+        self.con = _database()
+        self.con.register("given", pa.table({"id": pa.array(tokens.values(), pa.int32()), "hex": pa.array([t.hex() for t in tokens])}))
+        self.con.execute("create table vocabulary as select * from given")
+
+    def decode(self, lists: pa.ListArray) -> Iterator[tuple[int, int, list[bytes]]]:
+        """Runs of the lists (from, to) of about IDS ids, with their bytes."""
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        cuts = np.unique(np.searchsorted(np.cumsum(sizes), np.arange(IDS, sizes.sum() + IDS, IDS), side="right"))
+        for lo, hi in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
+            if hi == lo:
+                continue
+            n, out = sizes[lo:hi], [b""] * (hi - lo)
+            self.con.register("ids", pa.table({"doc": np.repeat(np.arange(hi - lo, dtype=np.int32), n), "pos": np.arange(n.sum(), dtype=np.int32), "id": lists[lo:hi].flatten()}))
+            found = self.con.sql(DECODE).to_arrow_table()
+            right = 0
+            for doc, text, count in zip(*(found.column(c).to_pylist() for c in ("doc", "bytes", "n")), strict=True):
+                out[doc] = text
+                right += count == n[doc]
+            if right != (n > 0).sum():
+                raise ValueError("an id isn't in the vocabulary")
+            yield lo, hi, out
+
+
+def _encoded(encoder: WordEncoder, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """doc_id, ids of a batch of doc_id, text."""
+    texts = b.column(1).to_pylist()
+    for part in slices(texts):
+        ids = encoder.encode(texts[part])
+        ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+        yield pa.RecordBatch.from_arrays([b.column(0)[part], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids), pa.int32()))], ["doc_id", "ids"])
+
+
+def _decoded(decoder: WordDecoder, b: pa.RecordBatch, into: str) -> Iterator[pa.RecordBatch]:
+    """b with the bytes of its ids."""
+    for lo, hi, out in decoder.decode(b.column(b.schema.get_field_index("ids"))):
+        yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, pa.array(out, pa.binary())], [*b.schema.names, into])
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids of docs (doc_id, text): each text whole, without special tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(path, pattern)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for part in slices(texts):
-                ids = encoder.encode(texts[part])
-                ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
-                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0)[part], lists], ["doc_id", "ids"])
+            yield from _encoded(encoder, b)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, into: str = "decoded") -> DataFrame:
     """encoded (ids, ...) with the bytes that the ids stand for."""
-    schema = T.StructType([*encoded.schema.fields, T.StructField(into, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        con = _database()
-        tokens = read_ranks(path)
-        con.register("given", pa.table({"id": pa.array(tokens.values(), pa.int32()), "hex": pa.array([t.hex() for t in tokens])}))
-        con.execute("create table vocabulary as select * from given")
+        decoder = WordDecoder(path)
         for b in batches:
-            lists = b.column(b.schema.get_field_index("ids"))
-            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            # runs of documents of about IDS ids
-            cuts = np.unique(np.searchsorted(np.cumsum(sizes), np.arange(IDS, sizes.sum() + IDS, IDS), side="right"))
-            for lo, hi in zip([0, *cuts], [*cuts, len(sizes)], strict=True):
-                if hi == lo:
-                    continue
-                n, out = sizes[lo:hi], [b""] * (hi - lo)
-                con.register("ids", pa.table({"doc": np.repeat(np.arange(hi - lo, dtype=np.int32), n), "pos": np.arange(n.sum(), dtype=np.int32), "id": lists[lo:hi].flatten()}))
-                found = con.sql(DECODE).to_arrow_table()
-                for doc, text, count in zip(*(found.column(c).to_pylist() for c in ("doc", "bytes", "n")), strict=True):
-                    if count != n[doc]:
-                        raise ValueError("an id isn't in the vocabulary")
-                    out[doc] = text
-                if sum(map(bool, out)) != (n > 0).sum():
-                    raise ValueError("an id isn't in the vocabulary")
-                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, pa.array(out, pa.binary())], [*b.schema.names, into])
-
-    return encoded.mapInArrow(run, schema)
+            yield from _decoded(decoder, b, into)
+
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(into, T.BinaryType())]))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    return decode(encode(docs, path, pattern), path)
+    """decode(encode(docs)) in one Python worker a task instead of two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, decoder = WordEncoder(path, pattern), WordDecoder(path)
+        for b in batches:
+            for part in _encoded(encoder, b):
+                yield from _decoded(decoder, part, "decoded")
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
 def digests(docs: DataFrame) -> DataFrame:
