@@ -302,6 +302,39 @@ def test_vantage_points_lose_no_link(spark, monkeypatch, depth_rows):
     assert {s: got.get(s, s) for s in signed} == want
 
 
+def test_near_dedup_stage_links_by_shingles(spark, folder, monkeypatch):
+    """Edited copies at similarity 0.8 and more go, others stay, as a comparison of all pairs says."""
+    import corpus_pipeline
+    from tidewell.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "GROUP", 25)  # several groups in a band
+    rng = np.random.default_rng(5)
+    vocabulary = np.array([f"palabra{i}" for i in range(900)])
+    texts = []
+    for n in (8, 12, 60, 60, 61, 150, 400, 400):
+        base = [*rng.choice(vocabulary, n)]
+        texts.append(base)
+        for k in (1, 2, 3, 5, 8, 13):
+            copy = [*base]
+            for at in rng.choice(n, min(k, n // 4), replace=False):
+                copy[at] = "otra" + copy[at]
+            texts += [copy, copy + [*rng.choice(vocabulary, k)]]
+    texts = [" ".join(t) for t in texts] + ["", None, "una dos", "una dos"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    root = list(range(len(texts)))
+    edited = 0
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x == sets[j] or len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                edited += x != sets[j] and (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > simhash.RADIUS
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    assert edited > 20
+    rows = [extra(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id for r in corpus_pipeline.simhash_near_dedup(spark, table(spark, folder(rows), "documents"), "").collect()}
+    assert got == set(root)
+
+
 def test_stages_keep_columns_they_don_t_know(spark, edge):
     import corpus_pipeline
 
