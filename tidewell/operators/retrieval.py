@@ -1,12 +1,13 @@
 """Hybrid retrieval for batches of questions: postings, dense neighbours, rank fusion, evidence.
 
 Nothing here is collected to the driver but index centroids, whose number is a parameter. Question vectors meet chunk vectors
-by a broadcast only below MOST_QUERIES of them; larger batches go through the bucketed index, whose joins shuffle.
+by a broadcast only up to MOST_QUERIES of them; larger batches are dealt into blocks, or go through the bucketed index; both shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ from tidewell.config import SETTINGS
 ACCENTED, PLAIN = "áàâäãéèêëíìîïóòôöõúùûüñç", "aaaaaeeeeiiiiooooouuuunc"
 #: Question vectors that are broadcast at most (about 5 MB of 64 doubles each).
 MOST_QUERIES = 10_000
+#: Parts of the chunks that blocks of more questions meet.
+CHUNK_PARTS = 64
 
 
 def retrievable(chunks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -137,12 +140,21 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
 def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, key: list[str]) -> DataFrame:
     """Exact neighbours: 1 - cosine distance of every question (qid, qvec) to every chunk (key, vec), unit vectors of doubles.
 
-    A stated set of questions against all chunks: the questions are broadcast, the chunks stay where they are.
+    Up to MOST_QUERIES questions are broadcast and the chunks stay where they are. More are dealt into blocks of about that
+    many by hash; each block meets each part of the chunks in a group of its own, which keeps the first k of each question
+    before the rest of the groups is looked at.
     """
-    if queries.count() > MOST_QUERIES:
-        raise ValueError(f"{MOST_QUERIES} questions at once at most; use bucketed_top_k for more")
-    scored = chunks.join(F.broadcast(queries), F.lit(True)).select("qid", *key, F.round(dot(F.col("qvec"), F.col("vec")), 6).alias("score"))
-    return top_k(scored, ["qid"], [F.desc("score"), *map(F.col, key)], k)
+    n = queries.count()
+    score = F.round(dot(F.col("qvec"), F.col("vec")), 6).alias("score")
+    order = [F.desc("score"), *map(F.col, key)]
+    if n <= MOST_QUERIES:
+        return top_k(chunks.join(F.broadcast(queries), F.lit(True)).select("qid", *key, score), ["qid"], order, k)
+    blocks = math.ceil(n / MOST_QUERIES)
+    asked = queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(CHUNK_PARTS - 1))))
+    dealt = chunks.withColumn("_part", F.pmod(F.xxhash64(*key), F.lit(CHUNK_PARTS)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    scored = dealt.join(asked.hint("shuffle_merge"), ["_block", "_part"]).select("qid", "_part", *key, score)
+    partial = top_k(scored, ["qid", "_part"], order, k).drop("rank", "_part")
+    return top_k(partial, ["qid"], order, k)
 
 
 def centroids(chunks: DataFrame, lists: int, sample: int = 10_000) -> np.ndarray:
