@@ -139,6 +139,13 @@ def jn5(spark, d) -> DataFrame:
     return detail.select("call_id", F.array_join(text, " | ").alias("turns"))
 
 
+@query("jn5_whole", with_tables("turns", "SELECT call_id, string_agg(rn || ' ' || role || ': ' || coalesce(content, ''), ' | ' ORDER BY rn) AS turns FROM (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY id) AS rn FROM turns) GROUP BY call_id"))
+def jn5_whole(spark, d) -> DataFrame:
+    """The call detail with the turns' whole contents; jn5 shows their beginnings."""
+    text = F.transform("turns", lambda t: F.concat(t.ordinal.cast("string"), F.lit(" "), t.role, F.lit(": "), F.coalesce(t.content, F.lit(""))))
+    return V.call_detail(S.turns(spark, d)).select("call_id", F.array_join(text, " | ").alias("turns"))
+
+
 @query("jn6", also("medications surgeries", LIVE, body="SELECT patient_id, surgery_id, line, name FROM live"))
 def jn6(spark, d) -> DataFrame:
     return V.active_medications(S.medications(spark, d), S.surgeries(spark, d), ASOF_DAY).orderBy("patient_id", "name").select("patient_id", "surgery_id", "line", "name")

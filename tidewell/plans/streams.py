@@ -82,14 +82,15 @@ def jb3_timer(spark, d) -> DataFrame:
 
 
 def messages(df: DataFrame) -> DataFrame:
-    """Call messages from the conversations: each turn as a partial and a final text, with metrics, citations and an end."""
+    """Call messages from the conversations: each turn as a partial text, its first half, and the whole one, with metrics, citations and an end."""
     turn, call = F.col("turn"), F.col("conv_id")
     who = F.when(F.col("role") == "user", "paciente").otherwise("agente")
-    short = F.regexp_replace(F.substring("text", 1, 20), r'["\\\n]', " ")
+    whole = F.coalesce("text", F.lit(""))
+    half = F.substring(whole, F.lit(1), F.ceil(F.length(whole) / 2).cast("int"))
     say = lambda text, open_: F.to_json(F.struct(who.alias("quien"), text.alias("texto"), F.lit(open_).alias("parcial")))
     cite = F.to_json(F.struct(F.array(F.concat(F.lit("c"), (turn % 3).cast("string"))).alias("citas")))
     row = lambda n, kind, body: F.struct((turn * 10 + n).alias("seq"), F.lit(kind).alias("kind"), body.alias("body"))
-    rows = F.array(row(0, "citas", cite), row(1, "transcripcion", say(F.substring(short, 1, 5), True)), row(2, "transcripcion", say(short, False)), row(3, "metricas", F.lit('{"ms": {"llm": 5}}')), row(4, "interrupcion", F.lit('{"ms": 40}')))
+    rows = F.array(row(0, "citas", cite), row(1, "transcripcion", say(half, True)), row(2, "transcripcion", say(whole, False)), row(3, "metricas", F.lit('{"ms": {"llm": 5}}')), row(4, "interrupcion", F.lit('{"ms": 40}')))
     return df.select(call.alias("call_id"), F.explode(rows).alias("m")).select("call_id", "m.*")
 
 
@@ -100,6 +101,17 @@ def _counted(df: DataFrame) -> DataFrame:
     return df.select("call_id", "utterances", "open", "citations", "interruptions", "discarded_ms")
 
 
+def _streamed(spark, d) -> DataFrame:
+    c = spark.read.parquet(f"{d}/conversations.parquet")
+    ends = c.groupBy(F.col("conv_id").alias("call_id")).agg((F.max("turn") * 10 + 9).alias("seq")).select("call_id", "seq", F.lit("fin").alias("kind"), F.lit('{"motivo": "completada"}').alias("body"))
+    at = folder(spark)
+    messages(c).unionByName(ends).repartitionByRange(3, "seq").write.parquet(at)
+    return to_end(S.conversations(files(spark, at, each=100)))
+
+
+TEXTS = "SELECT conv_id AS call_id, string_agg(CASE role WHEN 'user' THEN 'paciente' ELSE 'agente' END || ': ' || coalesce(text, ''), ' | ' ORDER BY turn) AS texts FROM conversations GROUP BY 1"
+
+
 @query("st6", ENDS)
 def st6(spark, d) -> DataFrame:
     """Every call's conversation folded from its messages."""
@@ -109,11 +121,19 @@ def st6(spark, d) -> DataFrame:
 @query("st6_stream", ENDS)
 def st6_stream(spark, d) -> DataFrame:
     """The same from a stream of messages, each call's last one ending it."""
-    c = spark.read.parquet(f"{d}/conversations.parquet")
-    ends = c.groupBy(F.col("conv_id").alias("call_id")).agg((F.max("turn") * 10 + 9).alias("seq")).select("call_id", "seq", F.lit("fin").alias("kind"), F.lit('{"motivo": "completada"}').alias("body"))
-    at = folder(spark)
-    messages(c).unionByName(ends).repartitionByRange(3, "seq").write.parquet(at)
-    return _counted(to_end(S.conversations(files(spark, at, each=100))))
+    return _counted(_streamed(spark, d))
+
+
+@query("st6_texts", TEXTS)
+def st6_texts(spark, d) -> DataFrame:
+    """The whole texts of every call's folded conversation."""
+    return S.folded_batch(messages(spark.read.parquet(f"{d}/conversations.parquet"))).select("call_id", "texts")
+
+
+@query("st6_texts_stream", TEXTS)
+def st6_texts_stream(spark, d) -> DataFrame:
+    """The same from a stream of messages."""
+    return _streamed(spark, d).select("call_id", "texts")
 
 
 @query("st7", "SELECT conv_id * 1000 + turn AS turn_id, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS characters FROM conversations WHERE role = 'assistant'")
