@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators import triage as T
+from tidewell.operators import triage_values as V
 from tidewell.plans import standins as S
 from tidewell.plans.registry import query
 from tidewell.plans.standins import with_tables
@@ -69,6 +70,14 @@ def tr4(spark, d) -> DataFrame:
     return T.flags(spoken(spark, d)).select("id", k.alias("k")).filter(F.col("k").isin(1, 8, 11)).distinct()
 
 
+@query("tr4_whole")
+def tr4_whole(spark, d) -> DataFrame:
+    """Flags of every turn in whose normalised text a negator is found."""
+    turns = spoken(spark, d)
+    denied = T.rule_hits(turns).filter(F.rlike("normal", F.lit(V.NEGATORS))).select("id")
+    return T.flags(turns).join(denied, "id", "left_semi").select("id", "code", "evidence")
+
+
 @query("tr5", sql("SELECT id, codes FROM flagged WHERE codes LIKE 'sangrado%'"))
 def tr5(spark, d) -> DataFrame:
     """Bleeding flags; plain bleeding told with a diminutive has none."""
@@ -92,6 +101,12 @@ def tr8(spark, d) -> DataFrame:
     return T.flags(spoken(spark, d)).filter(k == 8).select("id", F.col("evidence").contains("no puedo respirar").alias("has_match"))
 
 
+@query("tr8_whole")
+def tr8_whole(spark, d) -> DataFrame:
+    """Every flag with its excerpt."""
+    return T.flags(spoken(spark, d)).select("id", "code", "evidence")
+
+
 @query("tr9", sql("SELECT call_id, id, urgency, codes, reasons FROM flagged"))
 def tr9(spark, d) -> DataFrame:
     return T.summaries(T.flags(spoken(spark, d)))
