@@ -2,20 +2,23 @@
 
 import base64
 import hashlib
+import random
 import re
+import string
 import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from tests.llm.conftest import EDGE, extra
-from tidewell.llm import bpe, catalog, fingerprint, kneser_ney, line_dedup, mixing, quality_rules, simhash, token_files, warc
+from tests.llm.conftest import EDGE, WORDS, extra
+from tidewell.llm import bpe, catalog, fingerprint, kneser_ney, line_dedup, mixing, quality_rules, simhash, token_files, tokens, warc
 from tidewell.llm.common import table
 
 Q = catalog.queries()
@@ -72,9 +75,38 @@ def test_bpe_is_the_librarys_and_decodes(spark, edge):
         ids = enc.encode_ordinary(t)
         want[(i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())] += 1
     assert by_id(Q["op2_recursive_merges"](spark, edge).collect()) == want
-    word = ("aabbaabb" * 200).encode()
-    assert bpe.merged_by_heap(word, ranks) == enc._encode_single_piece(word)
-
+    words = bpe.Words(ranks, public_tokenizers.PATTERN)
+    rng = random.Random(4)
+    long = ["".join(rng.choices(string.ascii_lowercase, k=n)).encode() for n in [500] * 40 + [5_000]] + [b"aabbaabb" * 200, "ñandú".encode() * 300]
+    assert [x.tolist() for x in words.merged(long)] == [enc._encode_single_piece(w) for w in long]
+
+
+def test_merges_are_literal_whatever_the_vocabulary():
+    """Ranks in any order, so that a merge may make a pair of lesser rank."""
+
+    def literal(word, ranks):
+        parts = [word[i : i + 1] for i in range(len(word))]
+        while found := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+            i = min(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [ranks[p] for p in parts]
+
+    rng = random.Random(7)
+    for size in (0, 8, 20, 60):
+        tokens = list({"".join(rng.choices("abc", k=rng.randint(2, 5))).encode() for _ in range(size)})
+        rng.shuffle(tokens)
+        ranks = {bytes([i]): i for i in range(256)} | {t: 256 + k for k, t in enumerate(tokens)}
+        given = ["".join(rng.choices("abc", k=rng.randint(1, 40))).encode() for _ in range(150)]
+        assert [x.tolist() for x in bpe.Words(ranks, public_tokenizers.PATTERN).merged(given)] == [literal(w, ranks) for w in given]
+
+
+def test_chunks_are_cut_where_the_library_cuts(library):
+    """Odd spaces, special tokens, marks and a slice's bounds."""
+    texts = ["", " ", "a  b", "x <|endoftext|> y z", None, " lead\n two", "ñ ¿qué? “a b”  \n c ", "\u00a0 a \u2003 b\x1c c", "\u3000 x" * 5] + [WORDS] * 3
+    encoder = tokens.library_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for some in (texts, texts[::-1], texts[:1], [None]):
+        ids, at = encoder(pa.array(some, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in some]
 
 def test_kneser_ney_probabilities_sum_to_one_and_match_brute_force(spark):
     n = kneser_ney.ORDER
@@ -119,9 +151,9 @@ def test_kneser_ney_probabilities_sum_to_one_and_match_brute_force(spark):
 
 def test_classifier_tells_junk_from_prose(spark, folder):
     rng = np.random.default_rng(1)
-    vocabulary = WORDS = "el la casa perro gato corre salta verde rojo cielo mar tierra y en con sobre".split()
+    vocabulary = "el la casa perro gato corre salta verde rojo cielo mar tierra y en con sobre".split()
     prose = [extra(i, " ".join(rng.choice(vocabulary, 80))) for i in range(120)]
-    junk = [extra(1000 + i, " ".join("#" + w[::-1].upper() + "%" for w in rng.choice(WORDS, 80))) for i in range(20)]
+    junk = [extra(1000 + i, " ".join("#" + w[::-1].upper() + "%" for w in rng.choice(vocabulary, 80))) for i in range(20)]
     at = folder(prose + junk, [(i, 1, 0) for i in range(0, 120, 2)] + [(1000 + i, 0, 0) for i in range(5)])
     kept = {r.doc_id for r in Q["op3_kneser_ney"](spark, at).collect() if r.kept}
     assert len(kept & set(range(120))) >= 118 and not kept & set(range(1000, 1020))
@@ -169,6 +201,15 @@ def test_token_files(spark, edge, library):
     assert by_id(Q["op6_zstd_dictionary"](spark, edge).collect()) == want
 
 
+def test_one_document_is_read_by_its_frame(spark, edge, library, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "RANGE_DOCS", 4)
+    path = token_files.write_shards(table(spark, edge, "documents").select("doc_id", "text"), str(tmp_path / "t"), token_files.tokenizer_path())
+    for i in (1, 2, 3, 7, 12):
+        want = [[*library.encode(t, add_special_tokens=False).ids, 0] for k, t in TEXTS if k == i]
+        assert token_files.read_document(spark, path, i) == want
+    assert token_files.read_document(spark, path, 999) == []
+
+
 def test_a_wrong_dictionary_is_noticed(spark, edge, tmp_path):
     path = token_files.write_shards(table(spark, edge, "documents").select("doc_id", "text"), str(tmp_path / "t"), token_files.tokenizer_path())
     name = spark.read.parquet(f"{path}/dictionary").first().dictionary

@@ -1,13 +1,15 @@
 """Token ids in binary files, compressed document by document with a shared dictionary.
 
-A zstandard dictionary is trained on the serialized id arrays of a bounded sample. Documents are encoded and compressed one
-by one with it, dealt into ranges of doc_id, and written in ascending order as shards: a shard row holds the hash of its
-dictionary, the ids of its documents, the offsets of their frames and the frames themselves, so that one document is read
-by one slice. Ids below 65,536 take two bytes before compression, others four; the shard says which.
+A zstandard dictionary is trained on the serialized id arrays of a bounded sample. Documents are dealt into ranges of doc_id,
+sorted, encoded, and compressed one by one with it; each range is written as shards in ascending order. A shard row holds the
+hash of its dictionary, the ids of its documents, the offsets of their frames and the frames themselves, so that one document is
+read by one slice. Ids below 65,536 take two bytes before compression, others four; the shard says which.
 
 Defined cases: a null text is the empty text, of which only the end id is written; a null doc_id sorts first; rows with
-the same doc_id are ordered by their text's hash and each returned; an empty table writes no shard and gives an empty result;
-a sample too small to train on leaves the dictionary empty, and frames are then compressed without; other columns are ignored.
+the same doc_id are ordered by their text's hash and each returned, and as many of them as there may be are dealt into several
+ranges by that hash; an empty table writes no shard and gives an empty result; a very long text is one frame, held by one task in
+whole, and ends its shard early; a sample too small to train on leaves the dictionary empty, and frames are then compressed
+without; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,18 +20,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import fresh_path, id_bounds, range_of, table
+from tidewell.llm.common import fresh_path, table
 from tidewell.llm.token_counts import tokenizer_path
-from tidewell.llm.tokens import ChunkEncoder, slices
+from tidewell.llm.tokens import library_encoder
 
 END_ID = 0
-#: Documents the dictionary is trained on at most, its bytes, documents of a shard, shard starts that are broadcast at most.
-SAMPLE, DICTIONARY_BYTES, SHARD_DOCS, BROADCAST_ROWS = 400, 1 << 16, 512, 500_000
-SHARD = "bucket int, ordinal int, dictionary string, width int, doc_ids array<long>, n_tokens array<long>, ends array<long>, frames binary"
+#: Documents the dictionary is trained on at most, bytes of each that count, the dictionary's bytes.
+SAMPLE, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 1 << 14, 1 << 16
+#: Documents and bytes of a shard, documents of a range on average, ranges at most, shard starts that are broadcast at most.
+SHARD_DOCS, SHARD_BYTES, RANGE_DOCS, MOST_RANGES, BROADCAST_ROWS = 512, 16 << 20, 10_000, 32_768, 500_000
+SHARD = "bucket int, ordinal int, dictionary string, width int, first_id long, last_id long, doc_ids array<long>, n_tokens array<long>, ends array<long>, frames binary"
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
@@ -48,58 +54,105 @@ def _context(raw: bytes) -> dict:
     return {"dict_data": zstandard.ZstdCompressionDict(raw)} if raw else {}
 
 
+def _width(tokenizer: str) -> int:
+    from tokenizers import Tokenizer
+
+    return 2 if Tokenizer.from_file(tokenizer).get_vocab_size() <= 1 << 16 else 4
+
+
+def sampled(docs: DataFrame, tokenizer: str, kind: str) -> list[bytes]:
+    """Serialized ids of the SAMPLE documents with the least hashes, up to SAMPLE_BYTES of each.
+
+    Tasks send the driver hashes first; the documents they name are encoded in tasks.
+    """
+    hashed = docs.select("text", F.xxhash64("doc_id", "text").alias("h"))
+    last = hashed.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h").alias("h")).first().h
+    if last is None:
+        return []
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = library_encoder(tokenizer)
+        for b in batches:
+            for lo, hi, ids, at in own.each_slice(b.column(0)):
+                raw = [np.append(ids[at[k] : at[k + 1]], END_ID).astype(kind).tobytes()[:SAMPLE_BYTES] for k in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary())], ["raw"])
+
+    return sorted(bytes(r.raw) for r in hashed.filter(F.col("h") <= last).select("text").mapInArrow(encode, "raw binary").limit(SAMPLE).collect())
+
+
 def write_shards(docs: DataFrame, path: str, tokenizer: str) -> str:
     """Writes docs (doc_id, text) to path/dictionary and path/shards; returns path."""
     spark = docs.sparkSession
-    # the least hashes name the sample, so that tasks send the driver hashes, and only the sample's texts follow
-    hashed = docs.select("text", F.xxhash64("doc_id", "text").alias("h"))
-    last = hashed.select("h").orderBy("h").limit(SAMPLE).agg(F.max("h").alias("h")).first().h
-    sample = [] if last is None else sorted((r.text for r in hashed.filter(F.col("h") <= last).select("text").limit(SAMPLE).collect()), key=lambda t: t or "")
-    encoder = ChunkEncoder(tokenizer)
-    width = 2 if encoder.tokenizer.get_vocab_size() <= 1 << 16 else 4
+    width = _width(tokenizer)
     kind = f"<u{width}"
-    end = np.array([END_ID], "<u4").tobytes()
-    raw = train_dictionary([np.frombuffer(x + end, "<u4").astype(kind).tobytes() for part in slices(sample) for x in encoder.encode(sample[part])])
+    raw = train_dictionary(sampled(docs, tokenizer, kind))
     name = dictionary_hash(raw)
     spark.createDataFrame([(name, raw)], "dictionary string, raw binary").write.parquet(f"{path}/dictionary")
 
-    def press(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, z = ChunkEncoder(tokenizer), zstandard.ZstdCompressor(level=3, write_content_size=True, **_context(raw))
-        for b in batches:
-            for part in slices(b["text"]):
-                some = b.iloc[part]
-                ids = [np.frombuffer(x + end, "<u4") for x in own.encode(list(some["text"]))]
-                yield pd.DataFrame({"bucket": some["bucket"], "doc_id": some["doc_id"].astype("Int64"), "tie": some["tie"], "n_tokens": [len(x) for x in ids], "frame": [z.compress(x.astype(kind).tobytes()) for x in ids]})
-
-    def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted; a shard ends with its bucket or at SHARD_DOCS documents."""
-        held: list = []
-        at = (None, 0)
-
-        def shard() -> pd.DataFrame:
-            ids, n, frames = zip(*held, strict=True)
-            row = {"bucket": at[0], "ordinal": at[1], "dictionary": name, "width": width, "doc_ids": [None if pd.isna(x) else int(x) for x in ids], "n_tokens": [*n], "ends": np.cumsum([len(x) for x in frames]).tolist(), "frames": b"".join(frames)}
-            return pd.DataFrame([row])
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted; a shard ends at SHARD_DOCS documents, at SHARD_BYTES, or with its range."""
+        own, z = library_encoder(tokenizer), zstandard.ZstdCompressor(level=3, write_content_size=True, **_context(raw))
+        bucket, ordinal = TaskContext.get().partitionId(), 0
+        doc_ids, sizes, frames = [], [], []
+
+        def shard() -> pa.RecordBatch:
+            nonlocal ordinal
+            known = [x for x in doc_ids if x is not None]
+            row = {"bucket": bucket, "ordinal": ordinal, "dictionary": name, "width": width, "first_id": min(known, default=None), "last_id": max(known, default=None), "doc_ids": [*doc_ids], "n_tokens": [*sizes], "ends": np.cumsum([*map(len, frames)]).tolist(), "frames": b"".join(frames)}
+            ordinal += 1
+            for x in (doc_ids, sizes, frames):
+                x.clear()
+            return pa.RecordBatch.from_pylist([row], SHARD_ARROW)
 
         for b in batches:
-            for bucket, doc_id, n, frame in zip(b["bucket"], b["doc_id"].astype("Int64"), b["n_tokens"], b["frame"], strict=True):
-                if held and (bucket != at[0] or len(held) == SHARD_DOCS):
-                    yield shard()
-                    held.clear()
-                    at = (at[0], at[1] + 1)
-                if bucket != at[0]:
-                    at = (bucket, 0)
-                held.append((doc_id, n, frame))
-        if held:
+            ids_of = b.column(0).to_pylist()
+            for lo, hi, ids, at in own.each_slice(b.column(1)):
+                for k in range(hi - lo):
+                    doc_ids.append(ids_of[lo + k])
+                    sizes.append(int(at[k + 1] - at[k]) + 1)
+                    frames.append(z.compress(np.append(ids[at[k] : at[k + 1]], END_ID).astype(kind).tobytes()))
+                    if len(frames) == SHARD_DOCS or (len(frames[-1]) > SHARD_BYTES // SHARD_DOCS and sum(map(len, frames)) > SHARD_BYTES):
+                        yield shard()
+        if frames:
             yield shard()
 
-    bounds = id_bounds(docs, "doc_id")
-    keyed = docs.select(range_of(F.col("doc_id"), bounds).alias("bucket"), "doc_id", F.xxhash64("text").alias("tie"), "text")
-    frames = keyed.mapInPandas(press, "bucket int, doc_id long, tie long, n_tokens long, frame binary")
-    frames.repartition(max(1, len(bounds) + 1), "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("doc_id"), "tie").select("bucket", "doc_id", "n_tokens", "frame").mapInPandas(shards, SHARD).write.parquet(f"{path}/shards")
+    order = [F.asc_nulls_first("doc_id"), F.asc("tie")]
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    ranges = min(MOST_RANGES, max(1, docs.count() // RANGE_DOCS))
+    keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "text").mapInArrow(shards, SHARD).write.parquet(f"{path}/shards")
     return path
 
 
+SHARD_ARROW = pa.schema([
+    ("bucket", pa.int32()), ("ordinal", pa.int32()), ("dictionary", pa.string()), ("width", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()),
+    ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("frames", pa.binary()),
+])
+
+
+def _dictionaries(spark: SparkSession, path: str) -> dict[str, bytes]:
+    """One row, of DICTIONARY_BYTES at most."""
+    return {r.dictionary: bytes(r.raw) for r in spark.read.parquet(f"{path}/dictionary").collect()}
+
+
+def _decompressor(dictionaries: dict[str, bytes], name: str) -> zstandard.ZstdDecompressor:
+    if dictionary_hash(dictionaries[name]) != name:
+        raise ValueError("the dictionary isn't the one that the shard was written with")
+    return zstandard.ZstdDecompressor(**_context(dictionaries[name]))
+
+
+def read_document(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
+    """Ids of the documents with this id in the files at path: the statistics of the files leave the shards around it, and of each
+    only its own frame is sliced and decompressed."""
+    at = F.array_position("doc_ids", F.lit(doc_id)).cast("int")
+    found = spark.read.parquet(f"{path}/shards").filter((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id) & (at > 0))
+    places = found.withColumn("k", F.explode(F.filter(F.sequence(F.lit(1), F.size("doc_ids")), lambda k: F.element_at("doc_ids", k) == doc_id)))
+    begin = F.when(F.col("k") > 1, F.element_at("ends", F.col("k") - 1)).otherwise(0).cast("int")
+    frame = F.substring(F.col("frames"), begin + 1, F.element_at("ends", F.col("k")).cast("int") - begin)
+    known = _dictionaries(spark, path)
+    rows = places.orderBy("bucket", "ordinal", "k").select("dictionary", "width", frame.alias("frame")).collect()
+    return [np.frombuffer(_decompressor(known, r.dictionary).decompress(bytes(r.frame)), f"<u{r.width}").tolist() for r in rows]
+
+
 def read_documents(spark: SparkSession, path: str, of, schema: str) -> DataFrame:
     """of(doc_id, start, ids) of every document in the files at path, as rows of schema."""
     stored = spark.read.parquet(f"{path}/shards")
@@ -110,19 +163,17 @@ def read_documents(spark: SparkSession, path: str, of, schema: str) -> DataFrame
     starts = inner.join(F.broadcast(whole), "bucket").select("bucket", "ordinal", (F.col("base") + F.col("n")).alias("start"))
     if stored.select("bucket").count() <= BROADCAST_ROWS:
         starts = F.broadcast(starts)
-    # one row, of DICTIONARY_BYTES at most
-    dictionaries = {r.dictionary: bytes(r.raw) for r in spark.read.parquet(f"{path}/dictionary").collect()}
+    dictionaries = _dictionaries(spark, path)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples(index=False):
-                raw = dictionaries[r.dictionary]
-                assert dictionary_hash(raw) == r.dictionary, "the dictionary isn't the one that the shard was written with"
-                z = zstandard.ZstdDecompressor(**_context(raw))
+                z = _decompressor(dictionaries, r.dictionary)
                 at, begin, rows = int(r.start), 0, []
                 for doc_id, n, stop in zip(r.doc_ids, r.n_tokens, r.ends, strict=True):
                     ids = np.frombuffer(z.decompress(r.frames[begin:stop]), f"<u{r.width}").astype("<u4")
-                    assert len(ids) == n, "a frame's length differs from the index"
+                    if len(ids) != n:
+                        raise ValueError("a frame's length differs from the index")
                     rows.append(of(None if pd.isna(doc_id) else int(doc_id), at, ids))
                     at, begin = at + int(n), stop
                 out = pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])

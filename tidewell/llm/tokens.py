@@ -1,25 +1,25 @@
-"""Byte-level BPE with the tokenizers library for many texts: texts share their chunks.
+"""Token ids of many texts: texts share their chunks.
 
-A text falls apart before every space that a non-space follows, and the library's own splitting never joins what stands on
-both sides of such a place; so the ids of a text are those of its chunks in order. Each distinct chunk of a task's rows is
-encoded once by the library itself. Texts that hold a special token's string, which the library looks for first, go to it
-whole.
+A text falls apart before every space that a plain character follows, and no pattern that the tokenizers of this package split
+by joins what stands on both sides of such a place; so the ids of a text are those of its chunks in order. The chunks of a slice
+of texts are an Arrow array over the texts' own bytes. It is dictionary-encoded, each distinct chunk is encoded once, and the
+ids of all texts are gathered by number. Texts that hold a special token's string, which the library looks for first, are one
+chunk each. Chunks are remembered from slice to slice up to a number of bytes; the ids don't depend on it.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-BREAK = re.compile(r" (?=\S)")
-ODD_SPACE = re.compile(r" (?:\s|$)")
-#: Chunks that are remembered before the memory is emptied; the ids don't depend on it.
-MOST_CHUNKS = 600_000
-#: Chunks that are encoded as one text.
-JOINED = 20_000
+#: Bytes of the texts that are encoded at once, of the chunks that are handed to a tokenizer as one text, of remembered chunks.
+SLICE, JOINED, KNOWN = 8 << 20, 1 << 20, 32 << 20
+#: Bytes that may begin a character after the space before which a text is cut: neither white space nor a lead byte of any.
+PLAIN = ~np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3])
 
 
 def tokenizer_digest(path: str) -> str:
@@ -30,79 +30,132 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()
 
 
-#: Characters of the texts that are split at once.
-SLICE = 1 << 20
+def slices(sizes: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Ranges of texts (or other things) of about so many bytes; one of the texts at least."""
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most)))
+        yield lo, hi
+        lo = hi
 
 
-def slices(texts: Sequence[str | None]) -> Iterator[slice]:
-    """Runs of texts of about SLICE characters."""
-    lo, held = 0, 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
-        if held >= SLICE:
-            yield slice(lo, i + 1)
-            lo, held = i + 1, 0
-    if lo < len(texts):
-        yield slice(lo, len(texts))
+def byte_view(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a string or binary array without nulls, and where each value begins (and the last one ends)."""
+    values = values.cast(pa.binary())
+    _, offsets, data = values.buffers()
+    if not len(values) or data is None:
+        return np.zeros(0, np.uint8), np.zeros(len(values) + 1, np.int64)
+    at = np.frombuffer(offsets, np.int32, len(values) + 1, values.offset * 4).astype(np.int64)
+    return np.frombuffer(data, np.uint8, at[-1] - at[0], at[0]), at - at[0]
 
 
-class ChunkEncoder:
-    """Ids of texts as bytes of little-endian unsigned 32-bit numbers."""
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of flat that begin at starts, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return flat[np.repeat(starts - before, lengths) + np.arange(lengths.sum())]
+
 
-    def __init__(self, path: str) -> None:
-        import os
+class ChunkEncoder:
+    """Ids of texts, given encode(texts) of a tokenizer, the bytes of each of its tokens and its special tokens' strings."""
 
-        from tokenizers import Tokenizer
+    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], sizes: np.ndarray, special: Sequence[str] = ()) -> None:
+        self.encode, self.sizes, self.special = encode, sizes, special
+        self._forget()
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        # bytes of each token: in a byte-level vocabulary every character of a token's name is one
-        vocabulary = self.tokenizer.get_vocab()
-        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.sizes[i] = len(token)
+    def _forget(self) -> None:
+        self.known, self.flat = pa.array([], pa.binary()), np.zeros(0, np.uint32)
+        self.starts, self.counts = np.zeros((2, 0), np.int64)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, chunks: pa.Array, cut: np.ndarray) -> None:
+        """Remembers the ids of chunks."""
+        flat, starts, counts = self._encoded(chunks, cut)
+        self.known = pa.concat_arrays([self.known, chunks])
+        self.starts, self.counts = np.concatenate((self.starts, starts + len(self.flat))), np.concatenate((self.counts, counts))
+        self.flat = np.concatenate((self.flat, flat))
 
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks that begin with a space and a non-space: as one text, cut where the chunks end.
+    def _encoded(self, chunks: pa.Array, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, and start and number of those of each chunk; cut chunks begin with a space and a plain character.
 
-        Where the tokens' bytes don't end with the chunks, the chunks are encoded one by one.
+        Cut chunks are encoded as one text, which is cut where the chunks end; where the tokens' bytes don't end with the
+        chunks, the chunks are encoded one by one.
         """
-        out: list[bytes] = []
-        for at in range(0, len(chunks), JOINED):
-            some = chunks[at : at + JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends, stops = np.cumsum(self.sizes[ids]), np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in some])
-            cuts = np.searchsorted(ends, stops, side="right")
-            if len(ids) and np.array_equal(ends[cuts - 1], stops):
-                out += [ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        starts, counts = np.zeros((2, len(chunks)), np.int64)
+        flat, at = [np.zeros(0, np.uint32)], 0
+
+        def put(places: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+            nonlocal at
+            counts[places], starts[places] = lengths, at + np.cumsum(lengths) - lengths
+            flat.append(ids)
+            at += len(ids)
+
+        def put_each(places: np.ndarray) -> None:
+            found = self.encode([x.decode("utf-8", "surrogatepass") for x in chunks.take(pa.array(places)).to_pylist()])
+            put(places, np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)))
+
+        if not cut.all():
+            put_each(np.flatnonzero(~cut))
+        places = np.flatnonzero(cut)
+        data, offsets = byte_view(chunks.filter(pa.array(cut)))
+        for lo, hi in slices(np.diff(offsets), JOINED):
+            text = data[offsets[lo] : offsets[hi]].tobytes().decode("utf-8", "surrogatepass")
+            ids = self.encode([text])[0]
+            ends, stops = np.cumsum(self.sizes[ids]), offsets[lo + 1 : hi + 1] - offsets[lo]
+            found = np.minimum(np.searchsorted(ends, stops), len(ends) - 1)
+            if np.array_equal(ends[found], stops):
+                put(places[lo:hi], ids, np.diff(found + 1, prepend=0))
             else:
-                out += self._encode(some)
-        return out
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        """The chunks of a text; all but the first without the space that they begin with."""
-        return BREAK.split(text) if ODD_SPACE.search(text) else text.split(" ")
-
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Ids of each text; give it slices() of many texts, whose chunks it holds at once."""
-        parts = [None if t and any(s in t for s in self.special) else self.chunks(t) if t else [] for t in texts]
-        if len(self.known) > MOST_CHUNKS:
-            self.known.clear()
-        # a chunk after the first is kept under its own text, the first of a text under two spaces and its text
-        heads = ["  " + p.pop(0) for p in parts if p]
-        first = list(set(heads).difference(self.known))
-        self.known.update(zip(first, self._encode([c[2:] for c in first]), strict=True))
-        new = list(set().union(*filter(None, parts)).difference(self.known))
-        self.known.update(zip(new, self._encode_chunks([" " + c for c in new]), strict=True))
-        of, head = self.known.__getitem__, iter(heads)
-        out = [b"" if p is None or not t else b"".join((of(next(head)), *map(of, p))) for t, p in zip(texts, parts, strict=True)]
-        whole = [i for i, p in enumerate(parts) if p is None]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+                put_each(places[lo:hi])
+        return np.concatenate(flat), starts, counts
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the texts (strings or bytes, null for empty), and where those of each text begin (and the last one's end)."""
+        texts = pc.fill_null(texts.cast(pa.binary()), b"")
+        data, offsets = byte_view(texts)
+        inner = np.zeros(len(data), bool)
+        inner[:-1] = (data[:-1] == 0x20) & PLAIN[data[1:]]
+        inner[offsets[1:][np.diff(offsets) > 0] - 1] = False  # what follows a text's last character is another text's
+        for word in self.special:
+            for k in pc.indices_nonzero(pc.match_substring(texts, word)).to_pylist():
+                inner[offsets[k] : offsets[k + 1]] = False
+        begins = np.append(inner, False)
+        begins[offsets] = True
+        bounds = np.flatnonzero(begins)
+        if len(bounds) < 2:
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        chunks = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        number = chunks.indices.to_numpy()
+        cut = np.zeros(len(chunks.dictionary), bool)
+        cut[number[inner[bounds[:-1]]]] = True
+        if self.known.nbytes > KNOWN:
+            self._forget()
+        new = pc.is_null(pc.index_in(chunks.dictionary, self.known))
+        self._learn(chunks.dictionary.filter(new), cut[new.to_numpy(zero_copy_only=False)])
+        number = pc.index_in(chunks.dictionary, self.known).to_numpy()[number]
+        lengths = self.counts[number]
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        return gathered(self.flat, self.starts[number], lengths), ends[np.searchsorted(bounds, offsets)]
+
+    def each_slice(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """The range of texts, the ids and their bounds for slices of SLICE bytes."""
+        for lo, hi in slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy()):
+            yield lo, hi, *self(texts[lo:hi])
+
+
+def library_encoder(path: str) -> ChunkEncoder:
+    """Encoder of a byte-level file of the tokenizers library, without special tokens of its own."""
+    import os
+
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    tokenizer = Tokenizer.from_file(path)
+    # bytes of each token: in a byte-level vocabulary every character of a token's name is one
+    vocabulary = tokenizer.get_vocab()
+    sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    for token, i in vocabulary.items():
+        sizes[i] = len(token)
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    return ChunkEncoder(encode, sizes, [t.content for t in tokenizer.get_added_tokens_decoder().values()])
