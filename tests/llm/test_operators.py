@@ -221,19 +221,66 @@ def test_a_wrong_dictionary_is_noticed(spark, edge, tmp_path):
 PASSAGE = "Este pasaje se repite en muchos documentos y tiene bastantes palabras para que no sea casualidad alguna."
 
 
+def lost_by_brute_force(texts):
+    """Raw positions of the lines that each text loses to those before it: every run of lines against every earlier text."""
+    lines = [[(p, x.split()) for p, x in enumerate((t or "").split("\n")) if x.split()] for t in texts]
+    runs, out = [], []
+    for ls in lines:
+        own, gone = set(), set()
+        for i in range(len(ls)):
+            for j in range(i + 1, min(len(ls), i + 8) + 1):
+                if sum(len(w) for _, w in ls[i:j]) >= line_dedup.MIN_WORDS:
+                    key = tuple(" ".join(w) for _, w in ls[i:j])
+                    own.add(key)
+                    if any(key in r for r in runs):
+                        gone |= {p for p, _ in ls[i:j]}
+        runs.append(own)
+        out.append(gone)
+    return out
+
+
+def deduplicated(texts):
+    return [None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone) for t, gone in zip(texts, lost_by_brute_force(texts), strict=True)]
+
+
 def test_line_dedup_deletes_from_later_documents(spark, folder):
     rows = [extra(5, "uno propio\n" + PASSAGE + "\nfin cinco"), extra(1, "inicio de verdad\n" + PASSAGE + "\n\nsí"), extra(3, PASSAGE + "\n" + PASSAGE), extra(4, "sí\nno"), extra(None, PASSAGE)]
     got = {r.doc_id: r for r in Q["op7_patience_alignment"](spark, folder(rows)).collect()}
     assert got[1].text == "inicio de verdad\n" + PASSAGE + "\n\nsí"
-    assert got[3].text == PASSAGE and got[3].earlier_ids == [1]  # its second occurrence is in no earlier document
+    assert got[3].text == "" and got[3].earlier_ids == [1]  # both occurrences stand in an earlier document
     assert got[5].text == "uno propio\nfin cinco" and got[5].lines_removed == 1
     assert got[4].text == "sí\nno"  # a short line alone is no passage
     assert got[None].text == ""
 
 
+def test_line_dedup_finds_blocks_whose_lines_have_other_first_holders(spark, folder):
+    first, second = "aa bb cc\n" + "\n".join(f"x{i}" for i in range(7)), "aa bb cc\ndd ee ff"
+    got = {r.doc_id: r.text for r in Q["op7_patience_alignment"](spark, folder([extra(1, first), extra(2, second), extra(3, second)])).collect()}
+    assert got == {1: first, 2: second, 3: ""}
+
+
+@pytest.mark.parametrize("frequent", [4, 10_000])
+def test_line_dedup_against_brute_force(spark, folder, monkeypatch, frequent):
+    """Random texts of few lines, moved and repeated blocks, copies, blank lines, a line that half of the texts hold."""
+    monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
+    rng = random.Random(11)
+    stock = [" ".join(rng.choices("ab cd ef gh ij".split(), k=rng.choice((1, 1, 2, 3, 6, 9)))) for _ in range(40)] + ["", "  "]
+    texts = ["\n".join(rng.choices(stock, k=rng.randint(0, 14))) for _ in range(150)]
+    texts += [t if k % 3 else t + "\nuna línea que está en la mitad de los textos" for k, t in enumerate(rng.choices(texts, k=90))] + [None]
+    got = {r.doc_id: r.text for r in Q["op7_patience_alignment"](spark, folder([extra(i, t) for i, t in enumerate(texts)])).collect()}
+    assert got == dict(enumerate(deduplicated(texts)))
+
+
+def test_line_dedup_of_many_lines(spark, folder):
+    lines = [f"línea número {i} de un texto muy largo" for i in range(100_000)]
+    rows = [extra(1, "\n".join(lines)), extra(2, "\n".join(lines[50_000:] + ["algo nuevo"] + lines[:50_000])), extra(3, "\n".join(lines[:300][::-1]))]
+    got = {r.doc_id: r for r in Q["op7_patience_alignment"](spark, folder(rows)).collect()}
+    assert got[1].lines_removed == 0 and got[2].text == "algo nuevo" and got[3].text == ""
+
+
 def test_patience_alignment():
     assert line_dedup.increasing([3, 1, 2, 5, 4]) == [1, 2, 4]
-    assert line_dedup.common_blocks([(0, 4), (1, 5), (2, 0), (3, 1), (4, 2)]) == [[2, 3, 4], [0, 1]]
+    assert list(line_dedup.alignment([(0, 4, 1), (1, 5, 1), (2, 0, 2), (3, 1, 1), (4, 2, 1)])) == [(2, 0, 3), (0, 4, 2)]
 
 
 def test_rule_statistics(spark, edge):

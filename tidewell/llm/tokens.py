@@ -17,7 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of the texts that are encoded at once, of the chunks that are handed to a tokenizer as one text, of remembered chunks.
-SLICE, JOINED, KNOWN = 8 << 20, 1 << 20, 32 << 20
+SLICE, JOINED, KNOWN = 4 << 20, 1 << 18, 32 << 20
 #: Bytes that may begin a character after the space before which a text is cut: neither white space nor a lead byte of any.
 PLAIN = ~np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3])
 
@@ -51,8 +51,9 @@ def byte_view(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs of flat that begin at starts, one after the other."""
-    before = np.cumsum(lengths) - lengths
-    return flat[np.repeat(starts - before, lengths) + np.arange(lengths.sum())]
+    places = np.repeat((starts - np.cumsum(lengths) + lengths).astype(np.int32), lengths)
+    places += np.arange(len(places), dtype=np.int32)
+    return flat[places]
 
 
 class ChunkEncoder:
