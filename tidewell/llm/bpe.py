@@ -31,26 +31,26 @@ from tidewell.llm.tokens import ChunkEncoder, slices
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of the words of one recursive query, remembered words, ids decoded at once.
-QUERY_BYTES, MOST_WORDS, IDS = 1 << 18, 400_000, 300_000
+QUERY_BYTES, MOST_WORDS, IDS = 1 << 19, 400_000, 300_000
 
-#: One turn: pairs that merge, the places of each word's least rank, of neighbouring places every other one, the places up to the
-#: first whose new token would merge at a lesser rank, and the contraction.
+#: One turn: the pairs that merge, each word's least rank and leftmost place of it, and the contraction. Words of more than 32 tokens
+#: contract all places of their least rank that are sure: of neighbouring places every other one, up to the first whose new token
+#: would merge at a lesser rank.
 MERGE = """
 with recursive turn(word, ids) using key (word) as (
     select word, ids from words
     union all
-    select word, list_concat(list_slice(ids, 1, spots[1] - 1), flatten(list_transform(range(1, len(spots) + 1),
-        lambda i: list_concat([rank], list_slice(ids, spots[i] + 2, if(i < len(spots), spots[i + 1] - 1, len(ids))))))) as ids
-    from (
-        with pairs as (
-            select word, (merges.rank::bigint << 32) | pos as key
-            from (select word, pos, ids[pos] as a, ids[pos + 1] as b from (select word, ids, unnest(range(1, len(ids))) as pos from turn)) positions
-            join merges using (a, b)
-        ), least as (
-            select word, (least >> 32)::int as rank, list_filter(keys, lambda k: (k >> 32) = (least >> 32)) as keys
-            from (select word, min(key) as least, list(key) as keys from pairs group by word)
+    select word, ids from (
+        with least as (
+            select word, (min(key) >> 32)::int as rank, (min(key) & 4294967295)::int as pos, list(key) filter (where size > 32) as keys
+            from (
+                select word, size, (merges.rank::bigint << 32) | pos as key
+                from (select word, size, pos, ids[pos] as a, ids[pos + 1] as b from (select word, ids, len(ids) as size, unnest(range(1, len(ids))) as pos from turn)) positions
+                join merges using (a, b)
+            ) pairs
+            group by word
         ), places as (
-            select word, rank, (unnest(keys) & 4294967295)::int as pos from least where len(keys) > 1
+            select word, rank, (unnest(list_filter(keys, lambda k: (k >> 32) = rank)) & 4294967295)::int as pos from least where keys is not null
         ), runs as (
             select word, rank, pos, pos - row_number() over (partition by word order by pos) as run from places
         ), chosen as (
@@ -65,12 +65,13 @@ with recursive turn(word, ids) using key (word) as (
                 union all
                 select word, pos from around join merges on a = around.rank and b = next and merges.rank < around.rank
             ) group by word
-        )
-        select word, turn.ids, hits.rank, hits.spots from (
-            select word, rank, [(keys[1] & 4294967295)::int] as spots from least where len(keys) = 1
-            union all
+        ), sure as (
             select word, any_value(rank) as rank, list(pos order by pos) as spots from chosen left join stops using (word) where stop is null or pos <= stop group by word
-        ) hits join turn using (word)
+        )
+        select word, list_concat(list_slice(ids, 1, pos - 1), [rank], list_slice(ids, pos + 2, len(ids))) as ids from turn join least using (word) where keys is null
+        union all
+        select word, list_concat(list_slice(ids, 1, spots[1] - 1), flatten(list_transform(range(1, len(spots) + 1),
+            lambda i: list_concat([rank], list_slice(ids, spots[i] + 2, if(i < len(spots), spots[i + 1] - 1, len(ids))))))) as ids from turn join sure using (word)
     ) turned
 )
 select ids from turn order by word
