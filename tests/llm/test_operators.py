@@ -1,13 +1,14 @@
 """The operators against brute force on nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import base64
+import functools
 import hashlib
 import random
 import re
 import string
 import unicodedata
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -108,19 +109,16 @@ def test_chunks_are_cut_where_the_library_cuts(library):
         ids, at = encoder(pa.array(some, pa.string()))
         assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in some]
 
-def test_kneser_ney_probabilities_sum_to_one_and_match_brute_force(spark):
+def model_by_brute_force(counts):
+    """Probability of an n-gram under the model of these counts of ORDER-grams, from the definition."""
     n = kneser_ney.ORDER
-    text = kneser_ney.PAD + "abracadabra abre la cabra" + kneser_ney.END
-    counts = Counter(text[i : i + n] for i in range(len(text) - n + 1))
-    # every n-gram whose context is seen, so that probabilities of a context can be added up
-    alphabet = sorted({g[-1] for g in counts})
-    grams = {g[:-1] + c for g in counts for c in alphabet}
-    df = spark.createDataFrame([(g, counts[g]) for g in grams], "gram string, n long")
-    got = {r.gram: np.exp(r.log_p) for r in kneser_ney.probabilities(df).collect()}
-
     levels = {n: dict(counts)}
     for k in range(n - 1, 0, -1):
         levels[k] = Counter(g[1:] for g in levels[k + 1])
+    after = {k: defaultdict(list) for k in levels}
+    for k, level in levels.items():
+        for g, v in level.items():
+            after[k][g[:-1]].append(v)
 
     def discounts(level):
         c = Counter(level.values())
@@ -133,11 +131,12 @@ def test_kneser_ney_probabilities_sum_to_one_and_match_brute_force(spark):
 
     ds = {k: discounts(v) for k, v in levels.items()}
 
+    @functools.cache
     def p(gram):
         k = len(gram)
         if k == 0:
             return 1 / (1 + len(levels[1]))
-        seen = [v for g, v in levels[k].items() if g[:-1] == gram[:-1]]
+        seen = after[k].get(gram[:-1])
         if not seen:
             return p(gram[1:])
         own = levels[k].get(gram, 0)
@@ -145,8 +144,71 @@ def test_kneser_ney_probabilities_sum_to_one_and_match_brute_force(spark):
         left = sum(ds[k][min(v, 3) - 1] for v in seen) / sum(seen)
         return max(own - cut, 0) / sum(seen) + left * p(gram[1:])
 
+    return p
+
+
+def character_grams(text):
+    n = kneser_ney.ORDER
+    text = kneser_ney.PAD + " ".join((text or "").split()) + kneser_ney.END
+    return [text[i : i + n] for i in range(len(text) - n + 1)]
+
+
+def test_kneser_ney_probabilities_sum_to_one_and_match_brute_force(spark):
+    assert kneser_ney.ORDER == 5
+    counts = Counter(character_grams("abracadabra abre la cabra"))
+    # every n-gram whose context is seen, so that probabilities of a context can be added up
+    alphabet = sorted({g[-1] for g in counts})
+    grams = {g[:-1] + c for g in counts for c in alphabet}
+    df = spark.createDataFrame([(g, counts[g]) for g in grams], "gram string, n long")
+    got = {r.gram: np.exp(r.log_p) for r in kneser_ney.probabilities(df).collect()}
+    p = model_by_brute_force(counts)
     assert all(abs(got[g] - p(g)) < 1e-12 for g in grams)
-    assert sum(got[g] for g in grams if g.startswith("abr")) < 1.0 + 1e-9
+    sums = Counter()
+    for g in grams:
+        sums[g[:-1]] += got[g]
+    assert all(0.5 < x < 1.0 + 1e-9 for x in sums.values())  # the rest is the unseen characters'
+
+
+@pytest.mark.parametrize("piece", [1 << 16, 40])
+def test_perplexities_and_verdicts_against_brute_force(spark, folder, monkeypatch, piece):
+    """Also with texts of many pieces, blocks of few rows, a language too rare for a threshold of its own, nulls and repeated rows."""
+    monkeypatch.setattr(kneser_ney, "PIECE", piece)
+    monkeypatch.setattr(kneser_ney, "BLOCK_BITS", 5)
+    monkeypatch.setattr(kneser_ney, "SUPPORT", 4)
+    monkeypatch.setattr(kneser_ney, "SLICE", 2_000)
+    rng = random.Random(2)
+    stock = "el la casa perro gato corre salta verde rojo cielo mar tierra y en con sobre".split()
+    rows = [extra(i, " ".join(rng.choices(stock, k=rng.choice((3, 30, 300)))), ("es", "fr", "xx")[(i > 80) + (i > 145)]) for i in range(150)]
+    rows += [extra(200 + i, "".join(rng.choices("#%&qzx ", k=120)), "es") for i in range(10)] + [extra(300, None, None), extra(301, ""), extra(5, "otra fila"), extra(None, "sin número")]
+    labels = [(i, 1, 0) for i in range(150) if i % 4] + [(5, 0, 0), (201, 0, 0), (None, 1, 0)]
+    found = Q["op3_kneser_ney"](spark, folder(rows, labels)).collect()
+    ids = sorted({i for i, q, _ in labels if q == 1 and i is not None})
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    held = {r.doc_id for r in df.filter(f"pmod(xxhash64(doc_id), {kneser_ney.HELD_OUT}) = 0").collect()}
+    role = {i: 2 if i in held else 1 for i in ids}
+    p = model_by_brute_force(Counter(g for r in rows if role.get(r[0]) == 1 for g in character_grams(r[1])))
+    want, calibration = [], []
+    for i, text, lang, *_ in rows:
+        logs = [np.log(p(g)) for g in character_grams(text)]
+        want.append((i, lang, np.exp(-np.mean(logs))))
+        if role.get(i) == 2:
+            calibration.append((lang, want[-1][2]))
+
+    def quantile(values):  # the least value with so many values up to it
+        return sorted(values)[int(np.ceil(kneser_ney.QUANTILE * len(values))) - 1]
+
+    threshold = {lang: quantile([x for own, x in calibration if own == lang]) for lang, n in Counter(own for own, _ in calibration).items() if n >= 4}
+    assert "es" in threshold and "xx" not in threshold
+    every = quantile([x for _, x in calibration])
+
+    def key(r):
+        return (r[0] is None, r[0] or 0, r[2])
+
+    assert len(found) == len(want)
+    for r, (i, lang, x) in zip(sorted(found, key=lambda r: key((r.doc_id, r.lang, r.perplexity))), sorted(want, key=key), strict=True):
+        limit = kneser_ney.MARGIN * threshold.get(lang, every)
+        assert (r.doc_id, r.lang, r.kept) == (i, lang, x <= limit)
+        assert abs(r.perplexity - x) < 1e-4 * x and abs(r.threshold - limit) < 1e-4 * limit
 
 
 def test_classifier_tells_junk_from_prose(spark, folder):

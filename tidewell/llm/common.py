@@ -43,6 +43,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df as a table in the shared folder, bucketed by a key: aggregates and joins by that key read it without another shuffle."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    label = f"{name}_{path[-32:]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(F.col(key)).write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(label)
+    return spark.table(label)
+
+
 #: Rows of one range of neighbouring ids, and the most ranges.
 BUCKET_ROWS, MOST_BUCKETS = 2_000, 4_096
 

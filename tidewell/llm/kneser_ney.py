@@ -4,15 +4,18 @@ The model is of order ORDER over the characters of trusted documents (quality 1)
 that it doesn't learn from sets the thresholds: a document is rejected when its perplexity is above MARGIN times the QUANTILE
 of its language there. A language without such documents takes the quantile of all.
 
-Work is dealt by blocks of documents: a block is a run of BLOCK_ROWS rows of an input file, which every scan of the files
-finds again. The first scan sends each block's distinct character n-grams with their trusted counts. Counts of all
-orders come from joins and aggregates by n-gram, context and suffix, sharded by those keys, and so do the probabilities of all
-n-grams that any block asks for; no task holds the whole model, and what is sent grows with the blocks. The second scan
-sends each block's texts compressed to where its n-grams' probabilities have come together, and sums them by document.
+Work is dealt by blocks: the first PIECE characters of 2**BLOCK_BITS neighbouring rows of an input file are one, which every scan of
+the files finds again; the rest of long texts goes by pieces to blocks of twice as many pieces and half as many rows, and so on,
+so that no block holds more than 2**BLOCK_BITS * PIECE characters. The first scan sends each block's distinct character n-grams with
+their trusted counts to a table bucketed by n-gram. Counts of all orders come from joins and aggregates by n-gram, context and suffix,
+sharded by those keys, and so do the probabilities of all n-grams that any block asks for; no task holds the whole model, and what
+is sent grows with the blocks. The second scan sends each block's texts compressed to where its n-grams' probabilities have come
+together, and sums them by document.
 
 Defined cases: a null text is the empty text, whose perplexity is that of ending at once; a null language is a language of its
-own; a document with several labels is trusted if one says so; a table without trusted documents rejects nothing; rows with
-the same doc_id are each scored; an empty table gives an empty result; other columns are kept by accepted().
+own; a language with fewer than SUPPORT documents to calibrate on takes the threshold of all; a document with several labels is
+trusted if one says so; a table without trusted documents rejects nothing; rows with the same doc_id are each scored; an empty
+table gives an empty result; a very long text is cut by one task and scored piece by piece; other columns are kept by accepted().
 """
 
 from __future__ import annotations
@@ -26,24 +29,41 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import numbered, table, written
+from tidewell.llm.common import bucketed, numbered, table, written
 
-ORDER = 4
-#: One trusted document in so many only calibrates; the quantile of perplexities there, and how far beyond it rejection begins.
-HELD_OUT, QUANTILE, MARGIN = 5, 0.99, 1.3
-#: Rows of a block, characters handled at once, trusted ids that are broadcast at most.
-BLOCK_ROWS, SLICE, BROADCAST_ROWS = 8_192, 1 << 19, 2_000_000
+ORDER = 5
+#: One trusted document in so many only calibrates; the quantile of perplexities there, how far beyond it rejection begins, and the
+#: documents from which a language has a quantile of its own.
+HELD_OUT, QUANTILE, MARGIN, SUPPORT = 5, 0.99, 1.3, 20
+#: Rows of a block as a power of two, characters of a piece, characters handled at once, trusted ids that are broadcast at most.
+BLOCK_BITS, PIECE, SLICE, BROADCAST_ROWS = 13, 1 << 16, 1 << 19, 2_000_000
 START, END = "\x02", "\x03"
 PAD = START * (ORDER - 1)
 SPACES = re.compile(r"\s+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def characters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the texts, each between its pads and its end, and where each text begins."""
-    parts = [PAD + SPACES.sub(" ", t or "").strip() + END for t in texts]
-    codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
-    return codes, np.cumsum([0, *map(len, parts)])
+def block_of(row: int, piece: int) -> int:
+    """The block of a row's piece: the first row of a range, with the piece's level in bits that are 0 there."""
+    level = piece.bit_length()
+    shift = max(5, BLOCK_BITS - max(0, level - 1))
+    return row >> shift << shift | level
+
+
+def cut(rows: pd.DataFrame) -> pd.DataFrame:
+    """block, row, piece (and trusted) of rows (row, text): characters between pads and end, ORDER - 1 of which neighbours share."""
+    out = []
+    for k, (row, text) in enumerate(zip(rows["row"], rows["text"], strict=True)):
+        whole = PAD + SPACES.sub(" ", text or "").strip() + END
+        out += [(block_of(row, j), row, whole[j * PIECE : (j + 1) * PIECE + ORDER - 1], k) for j in range(max(1, -(-(len(whole) - ORDER + 1) // PIECE)))]
+    found = pd.DataFrame(out, columns=["block", "row", "piece", "k"])
+    return found.assign(trusted=rows["trusted"].to_numpy(bool)[found["k"].to_numpy(np.int64)]) if "trusted" in rows else found
+
+
+def characters(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the pieces, and where each begins."""
+    codes = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), "<u4")
+    return codes, np.cumsum([0, *map(len, pieces)])
 
 
 def gram_hashes(codes: np.ndarray) -> np.ndarray:
@@ -55,11 +75,11 @@ def gram_hashes(codes: np.ndarray) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about SLICE characters."""
     lo, held = 0, 0
     for i, t in enumerate(texts):
-        held += len(t or "") + ORDER
+        held += len(t)
         if held >= SLICE:
             yield lo, i + 1
             lo, held = i + 1, 0
@@ -85,7 +105,7 @@ def merged(parts: list[Grams]) -> Grams:
     return unique, np.concatenate([p[1] for p in parts])[first], np.bincount(number, np.concatenate([p[2] for p in parts]), len(unique)).astype(np.int64)
 
 
-def distinct_grams(texts: list[str | None], trusted: np.ndarray) -> Grams:
+def distinct_grams(texts: list[str], trusted: np.ndarray) -> Grams:
     """Distinct n-grams of the texts, with how often each stands in trusted ones."""
     out: list[Grams] = [(np.zeros(0, np.uint64), np.zeros((0, ORDER), "<u4"), np.zeros(0, np.int64))]
     for lo, hi in _slices(texts):
@@ -98,32 +118,41 @@ def distinct_grams(texts: list[str | None], trusted: np.ndarray) -> Grams:
     return out[0]
 
 
+def _grams(block: int, grams: Grams) -> Iterator[pd.DataFrame]:
+    _, codes, counts = grams
+    for at in range(0, len(counts), 50_000):
+        text = codes[at : at + 50_000].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        yield pd.DataFrame({"block": block, "gram": [text[i : i + ORDER] for i in range(0, len(text), ORDER)], "n": counts[at : at + 50_000]})
+
+
 def _gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Distinct n-grams of each block in this task."""
-    held: dict[int, Grams] = {}
+    """Distinct n-grams of each block in this task; rows come in order, so that one block of each level is held."""
+    held: dict[int, tuple[int, Grams]] = {}
     for b in batches:
-        for block, rows in b.groupby("block", sort=False):
-            new = distinct_grams(list(rows["text"]), rows["trusted"].to_numpy(bool))
-            held[block] = merged([held[block], new]) if block in held else new
-    for block, (_, codes, counts) in held.items():
-        for at in range(0, len(counts), 50_000):
-            text = codes[at : at + 50_000].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-            yield pd.DataFrame({"block": block, "gram": [text[i : i + ORDER] for i in range(0, len(text), ORDER)], "n": counts[at : at + 50_000]})
+        for block, rows in cut(b).groupby("block", sort=False):
+            new, level = distinct_grams(list(rows["piece"]), rows["trusted"].to_numpy(bool)), block & 31
+            if level in held and held[level][0] == block:
+                new = merged([held[level][1], new])
+            elif level in held:
+                yield from _grams(*held[level])
+            held[level] = (block, new)
+    for block, grams in held.values():
+        yield from _grams(block, grams)
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts of a block in compressed runs, with their row numbers."""
-    press = zstandard.ZstdCompressor(level=3)
+    """Pieces of a block in compressed runs of about SLICE characters, with their row numbers."""
+    press = zstandard.ZstdCompressor(level=6)
     for b in batches:
-        for block, rows in b.groupby("block", sort=False):
-            for at in range(0, len(rows), 500):
-                some = rows.iloc[at : at + 500]
-                texts = [(t or "").encode("utf-8", "surrogatepass") for t in some["text"]]
-                yield pd.DataFrame([{"block": block, "ids": list(some["row"]), "sizes": [len(t) for t in texts], "packed": press.compress(b"".join(texts))}])
+        for block, rows in cut(b).groupby("block", sort=False):
+            pieces = list(rows["piece"])
+            for lo, hi in _slices(pieces):
+                texts = [t.encode("utf-8", "surrogatepass") for t in pieces[lo:hi]]
+                yield pd.DataFrame([{"block": block, "ids": list(rows["row"].iloc[lo:hi]), "sizes": [len(t) for t in texts], "packed": press.compress(b"".join(texts))}])
 
 
 def _score(key: tuple, packed: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    """Log probability and length of each text of a block."""
+    """Log probability and length of each piece of a block."""
     lookup = np.zeros(0, np.uint64)
     if len(known):
         lookup = gram_hashes(np.frombuffer("".join(known["gram"]).encode("utf-32-le", "surrogatepass"), "<u4"))[::ORDER]
@@ -187,12 +216,13 @@ def scored(rows: DataFrame, labels: DataFrame) -> DataFrame:
     ids = labels.filter("quality = 1 and doc_id is not null").select("doc_id").distinct()
     ids = ids.withColumn("role", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0, 2).otherwise(1))
     side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    keyed = rows.select("row", "doc.doc_id", "doc.text", F.floor(F.col("row") / BLOCK_ROWS).alias("block")).join(side, "doc_id", "left")
-    asked = written(keyed.select("block", "text", (F.coalesce("role", F.lit(0)) == 1).alias("trusted")).mapInPandas(_gather, "block long, gram string, n long"), "asked")
+    keyed = rows.select("row", "doc.doc_id", "doc.text").join(side, "doc_id", "left")
+    asked = bucketed(keyed.select("row", "text", (F.coalesce("role", F.lit(0)) == 1).alias("trusted")).mapInPandas(_gather, "block long, gram string, n long"), "gram", "asked")
     grams = written(asked.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    known = asked.select("block", "gram").join(probabilities(grams), "gram")
-    packed = keyed.select("block", "row", "text").mapInPandas(_packed, "block long, ids array<long>, sizes array<long>, packed binary")
-    sums = packed.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_score, "row long, log_p double, n long")
+    known = asked.select("block", "gram").join(probabilities(grams).select("gram", F.col("log_p").cast("float").alias("log_p")), "gram")
+    packed = rows.select("row", "doc.text").mapInPandas(_packed, "block long, ids array<long>, sizes array<long>, packed binary")
+    pieces = packed.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_score, "row long, log_p double, n long")
+    sums = pieces.groupBy("row").agg(F.sum("log_p").alias("log_p"), F.sum("n").alias("n"))
     roles = rows.select("row", "doc.doc_id", "doc.lang").join(side, "doc_id", "left").select("row", "lang", F.coalesce("role", F.lit(0)).alias("trusted"))
     return written(sums.select("row", F.exp(-F.col("log_p") / F.col("n")).alias("perplexity")), "perplexities").join(roles, "row")
 
@@ -202,7 +232,7 @@ def judged(rows: DataFrame, labels: DataFrame) -> DataFrame:
     found = scored(rows, labels)
     quantile = F.percentile_approx("perplexity", QUANTILE, 10_000).alias("q")
     calibration = found.filter("trusted = 2")
-    by_lang = calibration.groupBy(F.col("lang").alias("own")).agg(quantile)
+    by_lang = calibration.groupBy(F.col("lang").alias("own")).agg(quantile, F.count("*").alias("support")).filter(F.col("support") >= SUPPORT).drop("support")
     overall = calibration.agg(quantile).first().q
     overall = found.filter("trusted = 1").agg(quantile).first().q if overall is None else overall
     found = found.join(by_lang, F.col("lang").eqNullSafe(F.col("own")), "left")
