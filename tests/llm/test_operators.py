@@ -452,12 +452,14 @@ def test_vantage_points_lose_no_link(spark, monkeypatch, depth_rows):
     assert {s: got.get(s, s) for s in signed} == want
 
 
-def test_near_dedup_stage_links_by_shingles(spark, folder, monkeypatch):
+@pytest.mark.parametrize("few", [32, 2])
+def test_near_dedup_stage_links_by_shingles(spark, folder, monkeypatch, few):
     """Edited copies at similarity 0.8 and more go, others stay, as a comparison of all pairs says."""
     import corpus_pipeline
     from tidewell.llm import near_copies
 
-    monkeypatch.setattr(near_copies, "GROUP", 25)  # several groups in a band
+    monkeypatch.setattr(near_copies, "FEW", few)
+    monkeypatch.setattr(near_copies, "GROUP", 5)  # several parts of a key
     rng = np.random.default_rng(5)
     vocabulary = np.array([f"palabra{i}" for i in range(900)])
     texts = []
