@@ -460,6 +460,7 @@ def test_near_dedup_stage_links_by_shingles(spark, folder, monkeypatch, few):
 
     monkeypatch.setattr(near_copies, "FEW", few)
     monkeypatch.setattr(near_copies, "GROUP", 5)  # several parts of a key
+    monkeypatch.setattr(near_copies, "OPEN_GROUP", 5)
     rng = np.random.default_rng(5)
     vocabulary = np.array([f"palabra{i}" for i in range(900)])
     texts = []
