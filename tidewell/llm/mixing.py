@@ -8,7 +8,7 @@ points left open come last, so that each source gives its target to the word.
 
 Defined cases: a null text has no words; a null source is a source of its own, ordered last; rows with the same doc_id each
 count by themselves (ties in the hashed order are broken by the text); an empty table gives an empty result; where no
-document has a word, every target is 0; columns besides doc_id, text and source are ignored. Everything is made of DataFrame
+document has a word, every target is 0; a very long text counts by its words in the JVM and lies in as many blocks as it fills; columns besides doc_id, text and source are ignored. Everything is made of DataFrame
 functions. Running sums over a source go through hash ranges of its documents, so a source that holds most rows is spread
 over many tasks.
 """
@@ -31,6 +31,8 @@ RANGE_ROWS = 2_000
 #: Cells into which the unit interval is cut to find a point's source by an equality join.
 CELLS = 4_096
 GOLDEN = 0.6180339887498949
+#: Sources whose targets are broadcast at most, one short row each; beyond, the joins by source shuffle.
+BROADCAST_ROWS = 100_000
 NULL_SOURCE = "\U0010ffff(null)"
 
 
@@ -104,10 +106,11 @@ def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK) -> DataFrame:
     key = F.when(F.col("source").isNull(), F.lit(NULL_SOURCE)).otherwise(F.concat(F.lit("s"), F.col("source")))
     sized = docs.select("doc_id", "row_id", key.alias("source_key"), n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     sized = written(sized, "mix-sizes")  # the texts are read once
-    targets = source_targets(sized.groupBy("source_key").agg(F.sum("size").alias("source_size")))
+    targets = written(source_targets(sized.groupBy("source_key").agg(F.sum("size").alias("source_size"))), "mix-targets")
+    side = F.broadcast if targets.count() <= BROADCAST_ROWS else lambda df: df
     placed = stream(sized, seed)
     full = targets.filter("source_size > 0").withColumn("words", F.round("target").cast("long")).select("source_key", "source_size", "words")
-    slots = schedule(targets, block).join(full, "source_key")
+    slots = schedule(targets, block).join(side(full), "source_key")
     per_epoch = F.ceil(F.col("source_size") / block).cast("long")
     # a slot is block rank % blocks of one epoch; an epoch's last block is short, and what is over the words of the target is left
     slots = slots.withColumns({"block": F.pmod("rank", per_epoch).cast("long"), "epoch": F.floor(F.col("rank") / per_epoch)})
@@ -118,7 +121,7 @@ def mix(docs: DataFrame, seed: int = 42, block: int = BLOCK) -> DataFrame:
     spans = spans.withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("to") - 1) / block))))
     used = spans.join(slots, ["source_key", "block"]).select("row_id", F.greatest(F.lit(0), F.least("to", "hi") - F.greatest("at", "lo")).alias("words"))
     taken = used.groupBy("row_id").agg(F.sum("words").alias("taken"))
-    rows = sized.join(targets.select("source_key", "source_size", "target"), "source_key").join(taken, "row_id", "left")
+    rows = sized.join(side(targets.select("source_key", "source_size", "target")), "source_key").join(taken, "row_id", "left")
     return rows.select("doc_id", "row_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
