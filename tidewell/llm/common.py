@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +55,22 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return spark.table(label)
 
 
+#: Rows of whole texts that one Arrow batch takes to a Python worker, where their number would fill its memory.
+TEXT_ROWS = 1_000
+
+
+@contextmanager
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
+    """Actions inside send at most so many rows in an Arrow batch, or as many as the session says if those are fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Rows of one range of neighbouring ids, and the most ranges.
 BUCKET_ROWS, MOST_BUCKETS = 2_000, 4_096
 

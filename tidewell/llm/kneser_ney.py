@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import bucketed, numbered, table, written
+from tidewell.llm.common import bucketed, numbered, table, text_batches, written
 
 ORDER = 5
 #: One trusted document in so many only calibrates; the quantile of perplexities there, how far beyond it rejection begins, and the
@@ -217,14 +217,18 @@ def scored(rows: DataFrame, labels: DataFrame) -> DataFrame:
     ids = ids.withColumn("role", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(HELD_OUT)) == 0, 2).otherwise(1))
     side = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
     keyed = rows.select("row", "doc.doc_id", "doc.text").join(side, "doc_id", "left")
-    asked = bucketed(keyed.select("row", "text", (F.coalesce("role", F.lit(0)) == 1).alias("trusted")).mapInPandas(_gather, "block long, gram string, n long"), "gram", "asked")
+    gathered = keyed.select("row", "text", (F.coalesce("role", F.lit(0)) == 1).alias("trusted")).mapInPandas(_gather, "block long, gram string, n long")
+    with text_batches(rows.sparkSession):
+        asked = bucketed(gathered, "gram", "asked")
     grams = written(asked.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
     known = asked.select("block", "gram").join(probabilities(grams).select("gram", F.col("log_p").cast("float").alias("log_p")), "gram")
     packed = rows.select("row", "doc.text").mapInPandas(_packed, "block long, ids array<long>, sizes array<long>, packed binary")
     pieces = packed.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(_score, "row long, log_p double, n long")
     sums = pieces.groupBy("row").agg(F.sum("log_p").alias("log_p"), F.sum("n").alias("n"))
     roles = rows.select("row", "doc.doc_id", "doc.lang").join(side, "doc_id", "left").select("row", "lang", F.coalesce("role", F.lit(0)).alias("trusted"))
-    return written(sums.select("row", F.exp(-F.col("log_p") / F.col("n")).alias("perplexity")), "perplexities").join(roles, "row")
+    with text_batches(rows.sparkSession):
+        found = written(sums.select("row", F.exp(-F.col("log_p") / F.col("n")).alias("perplexity")), "perplexities")
+    return found.join(roles, "row")
 
 
 def judged(rows: DataFrame, labels: DataFrame) -> DataFrame:
