@@ -1,5 +1,6 @@
 import numpy as np
 
+from tidewell.operators import evaluation as E
 from tidewell.operators import retrieval as R
 
 
@@ -15,3 +16,16 @@ def test_exact_neighbours_of_more_questions_than_a_broadcast_takes(spark, monkey
     got = {(r.qid, r.vec_id, r.rank) for r in R.dense_top_k(asked, chunks, 6, ["vec_id"]).collect()}
     scores = np.round(q @ v.T, 6)
     assert got == {(i, j, n) for i in range(45) for n, j in enumerate(sorted(range(70), key=lambda j: (-scores[i, j], j))[:6], 1)}
+
+
+def test_forgetting_can_fail(spark):
+    said = {1: "dolor agudo en la herida", 2: "fiebre alta de noche", 3: "fiebre alta de noche", 4: "nada que ver"}
+    vec = lambda i: [float(k == i) for k in range(6)]
+    chunks = spark.createDataFrame([(i, 0, "guia", t, vec(i)) for i, t in said.items()], "document_id long, ordinal long, heading string, content string, embedding array<float>")
+    docs = spark.createDataFrame([(i, "ready", f"{i}.pdf") for i in said], "id long, status string, filename string")
+    asked = spark.createDataFrame([(1, "dolor herida", vec(1)), (2, "fiebre alta", vec(2)), (3, "cosa ajena", vec(5))], "qid long, question string, qvec array<double>")
+    index = R.postings(R.analysed(chunks, ["la", "en", "de"], stem=None))
+    found = lambda told: {r.qid: r[1:] for r in E.forgetting(asked, chunks, docs, index, told).collect()}
+    one = found(spark.createDataFrame([(1,), (2,)], "id long"))
+    assert {q: (r[0], r[1], r[4], r[5]) for q, r in one.items()} == {1: (True, False, 0, True), 2: (True, True, 0, False), 3: (False, False, 0, False)}
+    assert {q: (r[0], r[3], r[5]) for q, r in found(None).items()} == {1: (True, 0, True), 2: (True, 0, True), 3: (False, 0, False)}

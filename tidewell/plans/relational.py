@@ -330,12 +330,12 @@ def wn2(spark, d) -> DataFrame:
     return heading_levels(S.lines(spark, d).select("document_id", (8 + (F.length("content") % 13) / 4.0).alias("font_size"), F.col("content").alias("text")))
 
 
-@query("wn3", with_tables("traces", "SELECT id, round(quantile_cont(duration_ms, 0.95) OVER (PARTITION BY call_id ORDER BY id ROWS BETWEEN 255 PRECEDING AND CURRENT ROW), 6) AS p95 FROM traces"))
+@query("wn3", with_tables("traces", "SELECT id, round(quantile_cont(duration_ms, 0.95) OVER (PARTITION BY call_id ORDER BY id ROWS BETWEEN 4095 PRECEDING AND CURRENT ROW), 6) AS p95 FROM traces"))
 def wn3(spark, d) -> DataFrame:
-    """Rolling 95th percentile over a stream's last frames."""
+    """Rolling 95th percentile over a stream's last 4,096 frames."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy("call_id").orderBy("id").rowsBetween(-255, 0)
+    w = Window.partitionBy("call_id").orderBy("id").rowsBetween(-4095, 0)
     return S.traces(spark, d).select("id", F.round(F.percentile("duration_ms", F.lit(0.95)).over(w), 6).alias("p95"))
 
 

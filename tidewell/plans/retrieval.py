@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.operators import evaluation as E
 from tidewell.operators import retrieval as R
 from tidewell.plans import standins as S
 from tidewell.plans.registry import query
@@ -220,15 +221,9 @@ def jn9(spark, d) -> DataFrame:
 
 @query("rt10")
 def rt10(spark, d) -> DataFrame:
-    """Learn and forget: evidence before, none and no rows after every document of the answers is forgotten."""
-    asked, parts, docs, found = questions(spark, d), chunks(spark, d), S.docs(spark, d), index(spark, d)
-    before = R.consult(asked, parts, docs, found)
-    told = before.select(F.col("document_id").alias("id")).distinct()
-    after = R.consult(asked, parts, docs.join(told, "id", "left_anti"), found).join(before.select("qid", "document_id"), ["qid", "document_id"], "left_semi")
-    count = lambda df, name: df.groupBy("qid").agg(F.count("*").alias(name))
-    both = asked.select("qid").join(count(before, "rows_before"), "qid", "left").join(count(after, "rows_after"), "qid", "left")
-    n = lambda c: F.coalesce(c, F.lit(0))
-    return both.select("qid", n("rows_before").alias("rows_before"), n("rows_after").alias("rows_after"), ((n("rows_before") == 0) | (n("rows_after") == 0)).alias("forgotten"))
+    """Learn and forget: each question's answer before and after the documents of all answers are gone from the snapshot."""
+    asked, docs = questions(spark, d), S.docs(spark, d)
+    return E.forgetting(asked, chunks(spark, d), docs, index(spark, d))
 
 
 @query("tx12", S.with_tables("lines", "SELECT document_id, line_no AS ordinal, lang || chr(10) || chr(10) || content AS embedding_text FROM lines"))
