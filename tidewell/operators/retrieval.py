@@ -1,13 +1,14 @@
 """Hybrid retrieval for batches of questions: postings, dense neighbours, rank fusion, evidence.
 
-Nothing here is collected to the driver but index centroids, whose number is a parameter. Question vectors meet chunk vectors
-by a broadcast only up to MOST_QUERIES of them; larger batches are dealt into blocks, or go through the bucketed index; both shuffle.
+Nothing here is collected to the driver but index centroids, whose number is a parameter, and up to MOST_QUERIES question vectors,
+which are counted first and sent to the tasks as one matrix; larger batches are dealt into blocks, or go through the bucketed index.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,8 +20,9 @@ from tidewell.config import SETTINGS
 
 #: Letters with accents and what they become, in the analyser that SQL can repeat.
 ACCENTED, PLAIN = "áàâäãéèêëíìîïóòôöõúùûüñç", "aaaaaeeeeiiiiooooouuuunc"
-#: Question vectors that are broadcast at most (about 5 MB of 64 doubles each).
+#: Question vectors that are sent to every task at most (about 5 MB of 64 doubles each), and how many meet a batch of chunks at once.
 MOST_QUERIES = 10_000
+QUERY_BLOCK = 256
 #: Parts of the chunks that blocks of more questions meet.
 CHUNK_PARTS = 64
 
@@ -79,6 +81,11 @@ def or_matches(queries: DataFrame, index: DataFrame) -> DataFrame:
     return query_terms(queries).join(index, "term")
 
 
+def matching(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """The postings of the questions' terms alone, before anything else is joined to them."""
+    return index.join(query_terms(queries).select("term").distinct(), "term", "left_semi")
+
+
 def lexical_scores(queries: DataFrame, index: DataFrame) -> DataFrame:
     """A tenth for every matched position."""
     return or_matches(queries, index).groupBy("qid", "document_id", "ordinal").agg(F.round(F.sum("tf") * F.lit(0.1), 6).alias("score"))
@@ -94,26 +101,29 @@ def bm25_scores(queries: DataFrame, index: DataFrame, k1: float = 1.2, b: float
     return hits.groupBy("qid", "document_id", "ordinal").agg(F.sum(part).alias("score"))
 
 
-def hashed_embedding(text: str, dimension: int = SETTINGS.dimension) -> np.ndarray:
-    """Feature hashing of words into a unit vector; the same everywhere, with no model."""
-    out = np.zeros(dimension)
-    for w in text.lower().split():
-        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-        out[h % dimension] += 1.0 if h >> 63 else -1.0
-    n = np.linalg.norm(out)
-    return out / n if n else out
+def hashed_embedding(texts: list[str], dimension: int = SETTINGS.dimension) -> np.ndarray:
+    """Feature hashing of words, signed counts in a row a text; the same everywhere, with no model. Unit length is for normalised().
+
+    A word's first 32 bits of MD5 choose its place and sign. A text without words has the zero vector.
+    """
+    out, place = np.zeros((len(texts), dimension), np.float32), {}
+    folded = str.maketrans(ACCENTED, PLAIN)
+    for row, text in zip(out, texts, strict=True):
+        for w in re.findall("[a-z0-9]+", text.lower().translate(folded)):
+            if w not in place:
+                place[w] = int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % (2 * dimension)
+            row[place[w] % dimension] += 1 if place[w] < dimension else -1
+    return out
 
 
-def embedder(embed: Callable[[str], np.ndarray] = hashed_embedding, batch: int = SETTINGS.embed_batch):
-    """An iterator UDF text -> array<float> around any embedding function; texts come in batches."""
+def embedder(embed: Callable[[list[str]], np.ndarray] = hashed_embedding, batch: int = SETTINGS.embed_batch):
+    """An iterator UDF text -> array<float> around any embedding function, which gets a list of texts and gives a row for each."""
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            out = []
-            for at in range(0, len(texts), batch):
-                out += [embed(t or "").astype(np.float32) for t in texts.iloc[at : at + batch]]
-            yield pd.Series(out)
+            whole = [t or "" for t in texts]
+            yield pd.Series([row for at in range(0, len(whole), batch) for row in np.asarray(embed(whole[at : at + batch]), np.float32)])
 
     return run
 
@@ -128,8 +138,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def normalised(v: Column) -> Column:
     """A unit vector; null for a zero vector or one of the wrong dimension is for the caller to filter."""
-    n = F.sqrt(dot(v, v))
-    return F.when(n > 0, F.transform(v, lambda x: x / n))
+    # the length is bound to a name, or it would be worked out again for every component
+    unit = F.transform(F.array(dot(v, v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x / F.sqrt(n))))
+    return F.element_at(unit, 1)
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -137,20 +148,50 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str =
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
 
 
+def nearest_in_tasks(queries: DataFrame, chunks: DataFrame, k: int, key: list[str]) -> DataFrame:
+    """qid, key, score: each task's nearest k chunks of every question, by products of matrices; pairs never become rows."""
+    asked = queries.select("qid", "qvec").filter("qvec is not null").toPandas()
+    qids, q = asked["qid"].to_numpy(), np.array(asked["qvec"].tolist(), float)
+    order, up = ["qid", "score", *key], [True, False, *(True for _ in key)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for chunk in batches:
+            if not len(chunk) or not len(q):
+                continue
+            v, n = np.stack(chunk["vec"].to_numpy()).T, len(chunk)
+            for at in range(0, len(q), QUERY_BLOCK):
+                score = np.round(q[at : at + QUERY_BLOCK] @ v, 6) + 0.0
+                least = np.partition(score, n - k, axis=1)[:, n - k, None] if n > k else np.full((len(score), 1), -np.inf)
+                # ties of the k-th score stay until the keys decide
+                who, what = np.nonzero(score >= least)
+                found = chunk[key].iloc[what].assign(qid=qids[at + who], score=score[who, what])
+                found = found.sort_values(order, ascending=up).groupby("qid", sort=False).head(k)
+                best = found if best is None else pd.concat([best, found])
+            best = best.sort_values(order, ascending=up).groupby("qid", sort=False).head(k)
+        if best is not None:
+            yield best[["qid", *key, "score"]]
+
+    types = {f.name: f.dataType.simpleString() for f in [*queries.schema, *chunks.schema]}
+    schema = ", ".join([f"qid {types['qid']}", *(f"`{c}` {types[c]}" for c in key), "score double"])
+    return chunks.select(*key, "vec").mapInPandas(run, schema)
+
+
 def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, key: list[str]) -> DataFrame:
     """Exact neighbours: 1 - cosine distance of every question (qid, qvec) to every chunk (key, vec), unit vectors of doubles.
 
-    Up to MOST_QUERIES questions are broadcast and the chunks stay where they are. More are dealt into blocks of about that
+    Up to MOST_QUERIES questions go to the chunks, which stay where they are. More are dealt into blocks of about that
     many by hash; each block meets each part of the chunks in a group of its own, which keeps the first k of each question
-    before the rest of the groups is looked at.
+    before the rest of the groups is looked at. Rows without a vector have no neighbours and are none.
     """
+    chunks = chunks.filter("vec is not null")
     n = queries.count()
-    score = F.round(dot(F.col("qvec"), F.col("vec")), 6).alias("score")
     order = [F.desc("score"), *map(F.col, key)]
     if n <= MOST_QUERIES:
-        return top_k(chunks.join(F.broadcast(queries), F.lit(True)).select("qid", *key, score), ["qid"], order, k)
+        return top_k(nearest_in_tasks(queries, chunks, k, key), ["qid"], order, k)
+    score = F.round(dot(F.col("qvec"), F.col("vec")), 6).alias("score")
     blocks = math.ceil(n / MOST_QUERIES)
-    asked = queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(CHUNK_PARTS - 1))))
+    asked = queries.filter("qvec is not null").withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(CHUNK_PARTS - 1))))
     dealt = chunks.withColumn("_part", F.pmod(F.xxhash64(*key), F.lit(CHUNK_PARTS)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     scored = dealt.join(asked.hint("shuffle_merge"), ["_block", "_part"]).select("qid", "_part", *key, score)
     partial = top_k(scored, ["qid", "_part"], order, k).drop("rank", "_part")
@@ -216,12 +257,12 @@ def overlap_score(question: Column, heading: Column, content: Column) -> Column:
     return F.round(F.least(F.lit(0.99), (2 * in_heading + in_body) / F.greatest(F.lit(1.0), 1.3 * F.size(q))), 6)
 
 
-def pair_scorer(score: Callable[[str, str], float]):
-    """A UDF (question, content) -> double around any scorer of pairs."""
+def pair_scorer(score: Callable[[list[str], list[str]], np.ndarray]):
+    """A UDF (question, content) -> double around any scorer of pairs, which gets them a batch at a time."""
 
     @F.pandas_udf("double")
     def run(questions: pd.Series, contents: pd.Series) -> pd.Series:
-        return pd.Series([score(q, c) for q, c in zip(questions, contents, strict=True)])
+        return pd.Series(score(questions.tolist(), contents.tolist()), dtype=float)
 
     return run
 
@@ -268,6 +309,24 @@ def valid_questions(queries: DataFrame, k: int) -> DataFrame:
     return queries.withColumn("question", F.trim("question")).filter("question != ''")
 
 
+def lexical_top_k(queries: DataFrame, index: DataFrame, view: DataFrame, k: int, key: list[str]) -> DataFrame:
+    """The best k chunks of the view by lexical_scores(): the questions' terms cut the postings before the view does."""
+    seen = matching(index, queries).join(view.select(*key), key, "left_semi")
+    return top_k(lexical_scores(queries, seen), ["qid"], [F.desc("score"), *map(F.col, key)], k)
+
+
+def store_index(chunks: DataFrame, stop: list[str], stem: Callable[[str], str] | None, at: str) -> None:
+    """The chunks with their embeddings (document_id, ordinal, heading, content, embedding) and their postings, as tables under a folder.
+
+    Postings lie in ranges of term and document, so that a term's stand together in few files and a frequent one's in many.
+    """
+    spark = chunks.sparkSession
+    text = embedding_text(F.col("heading"), F.col("content"))
+    chunks.withColumn("embedding", embedder()(text)).write.parquet(f"{at}/chunks")
+    index = postings(analysed(spark.read.parquet(f"{at}/chunks"), stop, stem))
+    index.repartitionByRange("term", "document_id").sortWithinPartitions("term", "document_id", "ordinal").write.parquet(f"{at}/postings")
+
+
 def consult(queries: DataFrame, chunks: DataFrame, docs: DataFrame, index: DataFrame, k: int = SETTINGS.context_top_k, pool: int = SETTINGS.retrieve_top_k, gate: str = "lexical") -> DataFrame:
     """Fragments for each question: hybrid candidates, pair scores, revalidation, evidence.
 
@@ -280,7 +339,7 @@ def consult(queries: DataFrame, chunks: DataFrame, docs: DataFrame, index: DataF
     vectors = view.select(*key, normalised(doubles(F.col("embedding"))).alias("vec")).filter("vec is not null")
     deep = 2 * max(pool, k)
     dense = dense_top_k(asked.select("qid", "qvec"), vectors, deep, key)
-    lexical = top_k(lexical_scores(asked, index.join(view.select(*key), key, "left_semi")), ["qid"], [F.desc("score"), *map(F.col, key)], deep)
+    lexical = lexical_top_k(asked, index, view, deep, key)
     candidates = fused(dense, lexical, key, max(pool, k))
     shown = candidates.join(view.select(*key, "filename", "heading", "content"), key).join(asked.select("qid", "question"), "qid")
     score = F.round(rrf_share(F.col("score")), 6) if gate == "reference" else overlap_score(F.col("question"), F.col("heading"), F.col("content"))

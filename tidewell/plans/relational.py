@@ -88,13 +88,13 @@ def pr7(spark, d) -> DataFrame:
     return docs.select("id", step.cast("int").alias("step"), F.round(fraction, 6).alias("fraction"))
 
 
-@query("jn1", with_tables("docs lines", "SELECT l.document_id, l.line_no AS ordinal, l.content, d.filename FROM lines l JOIN docs d ON d.id = l.document_id AND d.status = 'ready' JOIN embeddings e ON e.vec_id = l.document_id WHERE l.line_no = 0 AND e.embedding IS NOT NULL"))
+@query("jn1", with_tables("docs lines", "SELECT l.document_id, l.line_no AS ordinal, l.content, d.filename FROM lines l JOIN docs d ON d.id = l.document_id AND d.status = 'ready'"))
 def jn1(spark, d) -> DataFrame:
+    """Every line of the ready documents: all have vectors."""
     from tidewell.operators.retrieval import retrievable
+    from tidewell.plans.retrieval import chunks
 
-    vectors = S.read(spark, d, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
-    chunks = S.lines(spark, d).filter("line_no = 0").join(vectors, "document_id", "left").withColumnRenamed("line_no", "ordinal")
-    return retrievable(chunks, S.docs(spark, d)).select("document_id", "ordinal", "content", "filename")
+    return retrievable(chunks(spark, d), S.docs(spark, d)).select("document_id", "ordinal", "content", "filename")
 
 
 @query("jn2", with_tables("patients surgeries", """
@@ -132,16 +132,9 @@ def jn4(spark, d) -> DataFrame:
     return V.call_history(S.calls(spark, d), S.patients(spark, d), S.surgeries(spark, d), S.turns(spark, d), ASOF_DAY)
 
 
-@query("jn5", with_tables("turns", "SELECT call_id, string_agg(rn || ' ' || role || ': ' || substr(content, 1, 40), ' | ' ORDER BY rn) AS turns FROM (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY id) AS rn FROM turns) GROUP BY call_id"))
+@query("jn5", with_tables("turns", "SELECT call_id, string_agg(rn || ' ' || role || ': ' || coalesce(content, ''), ' | ' ORDER BY rn) AS turns FROM (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY id) AS rn FROM turns) GROUP BY call_id"))
 def jn5(spark, d) -> DataFrame:
-    detail = V.call_detail(S.turns(spark, d))
-    text = F.transform("turns", lambda t: F.concat(t.ordinal.cast("string"), F.lit(" "), t.role, F.lit(": "), F.substring(t.content, 1, 40)))
-    return detail.select("call_id", F.array_join(text, " | ").alias("turns"))
-
-
-@query("jn5_whole", with_tables("turns", "SELECT call_id, string_agg(rn || ' ' || role || ': ' || coalesce(content, ''), ' | ' ORDER BY rn) AS turns FROM (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY id) AS rn FROM turns) GROUP BY call_id"))
-def jn5_whole(spark, d) -> DataFrame:
-    """The call detail with the turns' whole contents; jn5 shows their beginnings."""
+    """The call detail with the turns' whole contents."""
     text = F.transform("turns", lambda t: F.concat(t.ordinal.cast("string"), F.lit(" "), t.role, F.lit(": "), F.coalesce(t.content, F.lit(""))))
     return V.call_detail(S.turns(spark, d)).select("call_id", F.array_join(text, " | ").alias("turns"))
 

@@ -1,7 +1,13 @@
-"""Indexing and retrieval over the driver's tables: lines of documents are chunks, benchmark passages are questions."""
+"""Indexing and retrieval over the driver's tables: all lines of all documents are chunks, benchmark passages are questions.
+
+Chunks and questions have the vectors of the library's own embedder, so that every line can be found; the table of embeddings is searched
+by ix6 to ix8. The index of a session's tables is written once, by the first query that reads it, and again if the documents change.
+"""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,55 +15,85 @@ from tidewell.operators import evaluation as E
 from tidewell.operators import retrieval as R
 from tidewell.plans import standins as S
 from tidewell.plans.registry import query
+from tidewell.streaming.run import folder
 
 STOP = ["de", "la", "que", "el", "en", "y", "a", "los", "the", "of", "and", "to", "in", "der", "die", "und", "et", "le", "les"]
 KEY = ["document_id", "ordinal"]
 
 
+#: Folders of the indexes that this process wrote, by application, tables and the documents' time of change.
+STORED: dict[tuple, str] = {}
+
+
+def plain_chunks(spark, d) -> DataFrame:
+    return S.lines(spark, d).select("document_id", F.col("line_no").alias("ordinal"), F.col("lang").alias("heading"), "content")
+
+
+def stored(spark, d) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    changed = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
+    known = (spark.sparkContext.applicationId, d, changed)
+    if known not in STORED:
+        path = folder(spark)
+        R.store_index(plain_chunks(spark, d), STOP, None, path)
+        STORED[known] = path
+    return STORED[known]
+
+
 def chunks(spark, d) -> DataFrame:
-    """Lines as chunks; the first line of a document has the vector of its number."""
-    vectors = S.read(spark, d, "embeddings").select(F.col("vec_id").alias("document_id"), F.lit(0).cast("long").alias("line_no"), "embedding")
-    lines = S.lines(spark, d).join(vectors, ["document_id", "line_no"], "left")
-    return lines.select("document_id", F.col("line_no").alias("ordinal"), F.col("lang").alias("heading"), "content", "embedding")
+    """Every line of every document, with the vector of its heading and text."""
+    return spark.read.parquet(f"{stored(spark, d)}/chunks")
+
+
+def index(spark, d) -> DataFrame:
+    return spark.read.parquet(f"{stored(spark, d)}/postings")
 
 
 def questions(spark, d) -> DataFrame:
-    """The benchmark's passages, each with the vector of its number."""
-    vectors = S.read(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), R.normalised(R.doubles(F.col("embedding"))).alias("qvec"))
-    return S.read(spark, d, "benchmark").join(vectors, "item_id").select(F.col("item_id").alias("qid"), F.col("text").alias("question"), "qvec")
+    """The benchmark's passages with their vectors."""
+    asked = S.read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.coalesce("text", F.lit("")).alias("question"))
+    return asked.withColumn("embedding", R.embedder()("question")).select("qid", "question", R.normalised(R.doubles(F.col("embedding"))).alias("qvec"))
 
 
-def vectors(spark, d) -> DataFrame:
-    return S.read(spark, d, "embeddings").select("vec_id", R.normalised(R.doubles(F.col("embedding"))).alias("vec")).filter("vec is not null")
+def given_questions(spark, d) -> DataFrame:
+    """The benchmark's items, each with the given vector of its number."""
+    given = S.read(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), R.normalised(R.doubles(F.col("embedding"))).alias("qvec"))
+    return S.read(spark, d, "benchmark").select(F.col("item_id").alias("qid")).join(given, "qid")
 
 
-def index(spark, d) -> DataFrame:
-    return R.postings(R.analysed(chunks(spark, d), STOP, stem=None))
+def vectors(spark, d) -> DataFrame:
+    return S.read(spark, d, "embeddings").select("vec_id", R.normalised(R.doubles(F.col("embedding"))).alias("vec")).filter("vec is not null")
 
 
 TERMS = f"list_filter(string_split_regex(translate(lower({{}}), '{R.ACCENTED}', '{R.PLAIN}'), '[^a-z0-9]+'), lambda t: t <> '')"
 STOPS = ", ".join(f"'{w}'" for w in STOP)
+#: A vector as hashed_embedding() makes it, from a list of words, and its unit vector.
+PLACES = "list_transform({}, lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT) % 128)"
+COUNTS = "list_transform(range(64), lambda i: CAST(len(list_filter(p, lambda x: x = i)) - len(list_filter(p, lambda x: x = i + 64)) AS DOUBLE))"
+UNIT = "list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y))))"
 CTES = {
     "lines": S.SQL["lines"],
     "docs": S.SQL["docs"],
     "tokens": f"SELECT document_id, ordinal, term FROM (SELECT document_id, line_no AS ordinal, unnest({TERMS.format('content')}) AS term FROM lines) WHERE term NOT IN ({STOPS})",
     "postings": "SELECT term, document_id, ordinal, count(*) AS tf FROM tokens GROUP BY 1, 2, 3",
-    "asked": f"SELECT item_id AS qid, unnest(list_distinct({TERMS.format('text')})) AS term FROM benchmark JOIN embeddings ON vec_id = item_id",
+    "asked": f"SELECT item_id AS qid, unnest(list_distinct({TERMS.format('text')})) AS term FROM benchmark",
     "lexical": "SELECT a.qid, p.document_id, p.ordinal, round(sum(p.tf) * 0.1, 6) AS score FROM asked a JOIN postings p ON p.term = a.term GROUP BY 1, 2, 3",
     "unit": "SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS vec FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
     "near": "SELECT b.item_id AS qid, u.vec_id, round(list_dot_product(q.vec, u.vec), 6) AS score FROM benchmark b JOIN unit q ON q.vec_id = b.item_id CROSS JOIN unit u",
-    "near_chunks": "SELECT n.qid, n.vec_id AS document_id, 0 AS ordinal, n.score FROM near n JOIN docs d ON d.id = n.vec_id AND d.status = 'ready'",
+    "view": "SELECT l.document_id, l.line_no AS ordinal, d.filename, l.lang AS heading, l.content FROM lines l JOIN docs d ON d.id = l.document_id AND d.status = 'ready'",
+    "chunk_unit": f"SELECT document_id, ordinal, {UNIT} AS vec FROM (SELECT document_id, ordinal, {COUNTS} AS v FROM (SELECT document_id, ordinal, {PLACES.format(TERMS.format('concat_ws(chr(10) || chr(10), heading, content)'))} AS p FROM view) WHERE len(p) > 0) WHERE list_sum(list_transform(v, lambda x: abs(x))) > 0",
+    "asked_unit": f"SELECT qid, {UNIT} AS vec FROM (SELECT item_id AS qid, {COUNTS} AS v FROM (SELECT item_id, {PLACES.format(TERMS.format('text'))} AS p FROM benchmark) WHERE len(p) > 0) WHERE list_sum(list_transform(v, lambda x: abs(x))) > 0",
+    "near_chunks": "SELECT q.qid, u.document_id, u.ordinal, round(list_dot_product(q.vec, u.vec), 6) AS score FROM asked_unit q CROSS JOIN chunk_unit u",
     "dense_ranked": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, document_id, ordinal) AS rank FROM near_chunks) WHERE rank <= 16",
-    "view": "SELECT l.document_id, l.line_no AS ordinal, d.filename, l.lang AS heading, l.content FROM lines l JOIN docs d ON d.id = l.document_id AND d.status = 'ready' JOIN embeddings e ON e.vec_id = l.document_id WHERE l.line_no = 0",
     "lexical_ranked": "SELECT * FROM (SELECT x.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, document_id, ordinal) AS rank FROM (SELECT lexical.* FROM lexical SEMI JOIN view USING (document_id, ordinal)) x) WHERE rank <= 16",
     "fused": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, document_id, ordinal) AS rank FROM (SELECT coalesce(a.qid, b.qid) AS qid, coalesce(a.document_id, b.document_id) AS document_id, coalesce(a.ordinal, b.ordinal) AS ordinal, a.rank AS dense_rank, b.rank AS lexical_rank, round(coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0), 9) AS score FROM dense_ranked a FULL JOIN lexical_ranked b ON a.qid = b.qid AND a.document_id = b.document_id AND a.ordinal = b.ordinal)) WHERE rank <= 8",
     "paired": f"SELECT f.qid, f.document_id, f.ordinal, v.filename, v.heading, v.content, {TERMS.format('b.text')} AS q, {TERMS.format('v.heading')} AS h, {TERMS.format('v.content')} AS c, f.score AS fused_score FROM fused f JOIN view v USING (document_id, ordinal) JOIN benchmark b ON b.item_id = f.qid",
     "scored": "SELECT qid, document_id, ordinal, filename, heading, content, fused_score, round(least(0.99::DOUBLE, (2 * len(list_distinct(list_intersect(q, h))) + len(list_distinct(list_filter(list_intersect(q, c), lambda t: NOT list_contains(h, t))))) / greatest(1.0::DOUBLE, 1.3 * len(list_distinct(q)))), 6) AS score FROM paired",
     "best": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, document_id, ordinal) AS rank FROM scored) WHERE rank <= 4",
-    "gate": "SELECT b.item_id AS qid, coalesce(max(s.score) >= 0.35, false) AS evidence FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id LEFT JOIN best s ON s.qid = b.item_id GROUP BY 1",
+    "gate": "SELECT b.item_id AS qid, coalesce(max(s.score) >= 0.35, false) AS evidence FROM benchmark b LEFT JOIN best s ON s.qid = b.item_id GROUP BY 1",
 }
 ALL_LEXICAL = "lines tokens postings asked lexical"
-ALL_FUSED = f"docs {ALL_LEXICAL} unit near near_chunks dense_ranked view lexical_ranked fused"
+ALL_FUSED = f"docs {ALL_LEXICAL} view chunk_unit asked_unit near_chunks dense_ranked lexical_ranked fused"
 
 
 def sql(names: str, body: str) -> str:
@@ -67,7 +103,7 @@ def sql(names: str, body: str) -> str:
 @query("ix1", sql("lines tokens", "SELECT term, count(*) AS n FROM tokens GROUP BY 1"))
 def ix1(spark, d) -> DataFrame:
     """Words of all chunks by the analyser that SQL repeats."""
-    return R.analysed(chunks(spark, d), STOP, stem=None).groupBy("term").agg(F.count("*").alias("n"))
+    return R.analysed(plain_chunks(spark, d), STOP, stem=None).groupBy("term").agg(F.count("*").alias("n"))
 
 
 @query("ix1_stemmed")
@@ -75,7 +111,7 @@ def ix1_stemmed(spark, d) -> DataFrame:
     """Stems of all chunks with Spanish stop words; a distinct word is stemmed once."""
     from pyspark.ml.feature import StopWordsRemover
 
-    return R.analysed(chunks(spark, d), StopWordsRemover.loadDefaultStopWords("spanish")).groupBy("term").agg(F.count("*").alias("n"))
+    return R.analysed(plain_chunks(spark, d), StopWordsRemover.loadDefaultStopWords("spanish")).groupBy("term").agg(F.count("*").alias("n"))
 
 
 @query("ix2", sql("lines tokens postings", "SELECT p.term, p.document_id, p.ordinal, p.tf, f.df FROM postings p JOIN (SELECT term, count(*) AS df FROM postings GROUP BY 1) f USING (term)"))
@@ -99,7 +135,7 @@ def ix4(spark, d) -> DataFrame:
 def ix5(spark, d) -> DataFrame:
     """Vectors of every chunk's heading and text."""
     text = R.embedding_text(F.col("heading"), F.col("content"))
-    return chunks(spark, d).select(*KEY, R.embedder()(text).alias("embedding"))
+    return plain_chunks(spark, d).select(*KEY, R.embedder()(text).alias("embedding"))
 
 
 @query("ix6", "WITH u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE len(embedding) = 64) SELECT vec_id, round(list_sum(list_transform(v, lambda x: x * x)), 5) AS norm2, round(v[1] / sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS first FROM u")
@@ -110,13 +146,13 @@ def ix6(spark, d) -> DataFrame:
 
 @query("ix7", sql("unit near", "SELECT qid, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM near) WHERE rank <= 10"))
 def ix7(spark, d) -> DataFrame:
-    return R.dense_top_k(questions(spark, d).select("qid", "qvec"), vectors(spark, d), 10, ["vec_id"])
+    return R.dense_top_k(given_questions(spark, d), vectors(spark, d), 10, ["vec_id"])
 
 
 @query("ix8")
 def ix8(spark, d) -> DataFrame:
     """Approximate neighbours beside their exact rank, from which recall follows."""
-    q, v = questions(spark, d).select("qid", "qvec"), vectors(spark, d)
+    q, v = given_questions(spark, d), vectors(spark, d)
     exact = R.dense_top_k(q, v, 10, ["vec_id"]).select("qid", "vec_id", F.col("rank").alias("exact_rank"))
     return exact.join(R.bucketed_top_k(q, v, 10, ["vec_id"]).select("qid", "vec_id", "rank"), ["qid", "vec_id"], "left")
 
@@ -126,7 +162,7 @@ def _branches(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     view = R.retrievable(chunks(spark, d), S.docs(spark, d))
     vecs = view.select(*KEY, R.normalised(R.doubles(F.col("embedding"))).alias("vec"))
     dense = R.dense_top_k(asked.select("qid", "qvec"), vecs, 16, KEY)
-    lexical = R.top_k(R.lexical_scores(asked, index(spark, d).join(view.select(*KEY), KEY, "left_semi")), ["qid"], [F.desc("score"), *map(F.col, KEY)], 16)
+    lexical = R.lexical_top_k(asked, index(spark, d), view, 16, KEY)
     return dense, lexical, view
 
 
@@ -161,13 +197,19 @@ def _overlap():
     return R.overlap_score(F.col("question"), F.col("heading"), F.col("content"))
 
 
-@query("rt3")
+WORDS = "list_distinct(list_filter(string_split_regex(lower({}), '[\\x20\\x09-\\x0D]+'), lambda t: t <> ''))"
+
+
+@query("rt3", sql(f"{ALL_FUSED} paired", f"SELECT qid, document_id, ordinal, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, document_id, ordinal) AS rank FROM (SELECT qid, document_id, ordinal, round(CAST(len(list_intersect(a, c)) AS DOUBLE) / greatest(1, len(a)), 6) AS score FROM (SELECT p.qid, p.document_id, p.ordinal, {WORDS.format('b.text')} AS a, {WORDS.format('p.content')} AS c FROM paired p JOIN benchmark b ON b.item_id = p.qid))) WHERE rank <= 4"))
 def rt3(spark, d) -> DataFrame:
     """Candidates scored again by a scorer of pairs, here shared words over all, through its UDF."""
 
-    def score(question: str, content: str) -> float:
-        q, c = set(question.lower().split()), set(content.lower().split())
-        return round(len(q & c) / max(1, len(q)), 6)
+    def words(text: str) -> set[str]:
+        return set(re.findall(r"[^\x20\x09-\x0D]+", text.lower()))
+
+    def score(questions: list[str], contents: list[str]) -> list[float]:
+        pairs = [(words(q), words(c)) for q, c in zip(questions, contents, strict=True)]
+        return [round(len(q & c) / max(1, len(q)), 6) for q, c in pairs]
 
     return R.reranked(_pairs(spark, d), R.pair_scorer(score)("question", "content"), KEY, 4).select("qid", *KEY, "score", "rank")
 
@@ -228,4 +270,4 @@ def rt10(spark, d) -> DataFrame:
 
 @query("tx12", S.with_tables("lines", "SELECT document_id, line_no AS ordinal, lang || chr(10) || chr(10) || content AS embedding_text FROM lines"))
 def tx12(spark, d) -> DataFrame:
-    return chunks(spark, d).select("document_id", "ordinal", R.embedding_text(F.col("heading"), F.col("content")).alias("embedding_text"))
+    return plain_chunks(spark, d).select("document_id", "ordinal", R.embedding_text(F.col("heading"), F.col("content")).alias("embedding_text"))
