@@ -139,8 +139,8 @@ def dot(a: Column, b: Column) -> Column:
 def normalised(v: Column) -> Column:
     """A unit vector; null for a zero vector or one of the wrong dimension is for the caller to filter."""
     # the length is bound to a name, or it would be worked out again for every component
-    unit = F.transform(F.array(dot(v, v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x / F.sqrt(n))))
-    return F.element_at(unit, 1)
+    unit = F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.transform(v, lambda x: x / n))
+    return F.when(dot(v, v) > 0, F.element_at(unit, 1))
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -222,14 +222,14 @@ def nearest_lists(centres: np.ndarray, probes: int) -> Callable[[Column], Column
         x = np.stack([np.asarray(v, float) for v in vectors]) if len(vectors) else np.zeros((0, centres.shape[1]))
         return pd.Series([row.tolist() for row in np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]])
 
-    return run
+    return run.asNondeterministic()  # so that no filter on what it gives is moved to where it can't run
 
 
 def bucketed_top_k(queries: DataFrame, chunks: DataFrame, k: int, key: list[str], lists: int = 32, probes: int = 22) -> DataFrame:
     """Approximate neighbours: chunks in lists by nearest centre, questions compared with their probes nearest lists."""
     centres = centroids(chunks, lists)
     indexed = chunks.withColumn("list", F.element_at(nearest_lists(centres, 1)(F.col("vec")), 1))
-    asked = queries.withColumn("list", F.explode(nearest_lists(centres, min(probes, max(1, len(centres))))(F.col("qvec"))))
+    asked = queries.withColumn("lists", nearest_lists(centres, min(probes, max(1, len(centres))))(F.col("qvec"))).withColumn("list", F.explode("lists"))
     scored = asked.join(indexed, "list").select("qid", *key, F.round(dot(F.col("qvec"), F.col("vec")), 6).alias("score"))
     return top_k(scored, ["qid"], [F.desc("score"), *map(F.col, key)], k)
 
@@ -318,11 +318,13 @@ def lexical_top_k(queries: DataFrame, index: DataFrame, view: DataFrame, k: int,
 def store_index(chunks: DataFrame, stop: list[str], stem: Callable[[str], str] | None, at: str) -> None:
     """The chunks with their embeddings (document_id, ordinal, heading, content, embedding) and their postings, as tables under a folder.
 
-    Postings lie in ranges of term and document, so that a term's stand together in few files and a frequent one's in many.
+    Chunks are dealt by their keys first: Python and tokens then get even shares whatever the sizes of files, row groups and
+    documents are. Postings lie in ranges of term and document, so that a term's stand together in few files and a frequent one's
+    in many.
     """
     spark = chunks.sparkSession
     text = embedding_text(F.col("heading"), F.col("content"))
-    chunks.withColumn("embedding", embedder()(text)).write.parquet(f"{at}/chunks")
+    chunks.repartition("document_id", "ordinal").withColumn("embedding", embedder()(text)).write.parquet(f"{at}/chunks")
     index = postings(analysed(spark.read.parquet(f"{at}/chunks"), stop, stem))
     index.repartitionByRange("term", "document_id").sortWithinPartitions("term", "document_id", "ordinal").write.parquet(f"{at}/postings")
 

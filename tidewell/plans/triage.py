@@ -43,6 +43,18 @@ def _values() -> str:
 SPOKEN = f"said AS (SELECT t.call_id, t.id, t.role, t.content, v.* FROM turns t JOIN (VALUES {_values()}) v(k, sentence, normal, codes, urgency, reasons) ON v.k = (t.id + t.call_id) % {len(SENTENCES)} WHERE t.role = 'patient'), flagged AS (SELECT * FROM said WHERE codes IS NOT NULL)"
 
 
+NORMAL = r"trim(regexp_replace(regexp_replace(strip_accents(lower(content)), '\b(?:e+h+|a+h+|em|mm+|umm+|o\s+sea|osea|digamos|pues)\b', ' ', 'g'), '\s+', ' ', 'g')) || '. ' || normal || '.'"
+#: Where each sentence's flags are found in it: its number, the code, the words that the rule matches.
+PLACES = [
+    (0, "fiebre_alta", "39"), (2, "sangrado_activo", "mucha sangre"), (3, "dehiscencia", "se me solto un punto"), (4, "dolor_toracico", "me duele el pecho"), (4, "disnea", "me cuesta mucho respirar"),
+    (6, "signos_infeccion", "huele mal"), (8, "disnea", "no puedo respirar"), (9, "signos_infeccion", "huele mal"), (9, "fiebre_referida", "mucha fiebre"), (11, "sangrado", "la herida esta sangrando"),
+]
+#: The excerpt of a flag: its words and what stands around them; the sentence is the text's end.
+EXCERPTS = f""", places AS (SELECT * FROM (VALUES {", ".join(map(str, PLACES))}) v(form, code, words)),
+found AS (SELECT id, code, words, n, length(n) - length(normal) - 1 + strpos(normal, words) AS p FROM (SELECT id, k, normal, {NORMAL} AS n FROM said) JOIN places ON form = k),
+excerpts AS (SELECT id, code, n, trim(substr(n, greatest(1, p - {V.EXCERPT_CHARS}), p + length(words) + {V.EXCERPT_CHARS} - greatest(1, p - {V.EXCERPT_CHARS}))) AS evidence FROM found)"""
+
+
 def sql(body: str) -> str:
     return with_tables("turns", f", {SPOKEN} {body}")
 
@@ -52,7 +64,7 @@ def tr1(spark, d) -> DataFrame:
     return T.patient_turns(spoken(spark, d)).select("call_id", "id")
 
 
-@query("tr2", sql(r"SELECT id, trim(regexp_replace(regexp_replace(strip_accents(lower(content)), '\b(?:e+h+|a+h+|em|mm+|umm+|o\s+sea|osea|digamos|pues)\b', ' ', 'g'), '\s+', ' ', 'g')) || '. ' || normal || '.' AS normal FROM said"))
+@query("tr2", sql(f"SELECT id, {NORMAL} AS normal FROM said"))
 def tr2(spark, d) -> DataFrame:
     return T.patient_turns(spoken(spark, d)).select("id", T.speech_normalised(F.col("content")).alias("normal"))
 
@@ -63,16 +75,10 @@ def tr3(spark, d) -> DataFrame:
     return T.rule_hits(spoken(spark, d)).select("id")
 
 
-@query("tr4", sql("SELECT id, k FROM flagged WHERE k IN (8, 11)"))
+@query("tr4_whole", sql(f"{EXCERPTS} SELECT id, code, evidence FROM excerpts WHERE regexp_matches(n, '{V.NEGATORS}')"))
+@query("tr4", sql(f"{EXCERPTS} SELECT id, code, evidence FROM excerpts WHERE regexp_matches(n, '{V.NEGATORS}')"))
 def tr4(spark, d) -> DataFrame:
-    """Flags of the turns with a negator: those that it doesn't reach are all that is left."""
-    k = F.pmod(F.col("id") + F.col("call_id"), F.lit(len(SENTENCES)))
-    return T.flags(spoken(spark, d)).select("id", k.alias("k")).filter(F.col("k").isin(1, 8, 11)).distinct()
-
-
-@query("tr4_whole")
-def tr4_whole(spark, d) -> DataFrame:
-    """Flags of every turn in whose normalised text a negator is found."""
+    """Flags of every turn in whose normalised text a negator is found: those that it doesn't reach are all that is left."""
     turns = spoken(spark, d)
     denied = T.rule_hits(turns).filter(F.rlike("normal", F.lit(V.NEGATORS))).select("id")
     return T.flags(turns).join(denied, "id", "left_semi").select("id", "code", "evidence")
@@ -94,15 +100,9 @@ def tr7(spark, d) -> DataFrame:
     return T.flags(spoken(spark, d)).select("id", "code")
 
 
-@query("tr8", sql("SELECT id, true AS has_match FROM flagged WHERE k = 8"))
+@query("tr8_whole", sql(f"{EXCERPTS} SELECT id, code, evidence FROM excerpts"))
+@query("tr8", sql(f"{EXCERPTS} SELECT id, code, evidence FROM excerpts"))
 def tr8(spark, d) -> DataFrame:
-    """The excerpt around a match holds it."""
-    k = F.pmod(F.col("id") + F.col("call_id"), F.lit(len(SENTENCES)))
-    return T.flags(spoken(spark, d)).filter(k == 8).select("id", F.col("evidence").contains("no puedo respirar").alias("has_match"))
-
-
-@query("tr8_whole")
-def tr8_whole(spark, d) -> DataFrame:
     """Every flag with its excerpt."""
     return T.flags(spoken(spark, d)).select("id", "code", "evidence")
 
