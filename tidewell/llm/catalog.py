@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewell.llm import bpe, fingerprint, kneser_ney, line_dedup, mixing, quality_rules, simhash, token_counts, token_files, warc
+from tidewell.llm import bpe, decontamination, fingerprint, kneser_ney, line_dedup, mixing, prefix_trie, quality_rules, simhash, token_counts, token_files, warc, whitening
 
 
 def _pipeline(spark, sf_dir):
@@ -24,10 +24,13 @@ def queries() -> dict:
         "op8_decision_list": quality_rules.op8_decision_list,
         "op9_canonical_digest": fingerprint.op9_canonical_digest,
         "op10_vantage_points": simhash.op10_vantage_points,
+        "op11_tree_contraction": prefix_trie.op11_tree_contraction,
+        "op12_ngram_scan": decontamination.op12_ngram_scan,
+        "op13_bidiagonal_qd": whitening.op13_bidiagonal_qd,
     }
 
 
-#: The only one of these queries that SQL can express whole; the tests hold the others against brute force.
+#: SQL can express three of these queries whole; the tests hold the others against brute force.
 OP4_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT sha256(h) AS digest, min(page_id) AS first FROM p WHERE strlen(h) >= 100 GROUP BY 1)
@@ -38,4 +41,4 @@ FROM p LEFT JOIN d ON d.digest = sha256(p.h)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_segment_reassembly": OP4_SQL}
+    return {"op4_segment_reassembly": OP4_SQL, "op11_tree_contraction": prefix_trie.OP11_SQL, "op12_ngram_scan": decontamination.OP12_SQL}
