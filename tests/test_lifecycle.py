@@ -69,3 +69,64 @@ def test_blank_questions_and_bad_k_are_rejected(spark):
     assert [r.question for r in R.valid_questions(q, 4).collect()] == ["hola"]
     with pytest.raises(ValueError):
         R.valid_questions(q, 0)
+
+
+EVENTS = "id long, seq long, change string, status string, chunks long, error string"
+
+
+def fold(listed, events):
+    """The feed's rule, event by event."""
+    now, unknown = {r[0]: list(r[1:]) for r in listed}, set()
+    for i, _, change, status, chunks, error in sorted(events, key=lambda e: e[1]):
+        if change == "eliminado":
+            now.pop(i, None)
+        elif i not in now:
+            unknown.add(i)
+        else:
+            s, c, e = now[i]
+            s, c = status or s, c if chunks is None else chunks
+            now[i] = [s, c, error if error is not None else e if s == "failed" else None]
+    return now, unknown
+
+
+def random_feed(seed, n):
+    import random
+
+    rng = random.Random(seed)
+    listed = [(i, rng.choice(["ready", "failed", "parsing"]), rng.randint(0, 3), rng.choice([None, "viejo"])) for i in range(12)]
+    events = [(rng.randint(0, 14), k, "eliminado" if rng.random() < 0.02 else "documento", rng.choice([None, None, "ready", "failed"]), rng.choice([None, 5, 6]), rng.choice([None, None, f"e{k}"])) for k in range(n)]
+    return listed, events
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_the_feed_is_folded_field_by_field(spark, monkeypatch, seed):
+    monkeypatch.setattr(L, "FEED_BITS", 3)  # many blocks
+    listed, events = random_feed(seed, 120)
+    df = spark.createDataFrame(listed, "id long, status string, chunks long, error string")
+    told = spark.createDataFrame(events + events[5:9], EVENTS)  # some events twice
+    now, unknown = L.apply_feed(df, told)
+    want, missing = fold(listed, events)
+    assert {r.id: [r.status, r.chunks, r.error] for r in now.collect()} == want and {r.id for r in unknown.collect()} == missing
+    assert {r.id: [r.status, r.chunks, r.error] for r in L.apply_feed(df, told.limit(0))[0].collect()} == {r[0]: list(r[1:]) for r in listed}
+
+
+def test_an_earlier_event_keeps_its_field(spark):
+    listed = spark.createDataFrame([(1, "parsing", 0, None)], "id long, status string, chunks long, error string")
+    events = spark.createDataFrame([(1, 1, "documento", "ready", None, None), (1, 2, "documento", None, 7, None)], EVENTS)
+    assert [tuple(r) for r in L.apply_feed(listed, events)[0].collect()] == [(1, "ready", 7, None)]
+
+
+def test_a_batch_of_the_feed_is_applied_once(spark, tmp_path):
+    listed, events = random_feed(7, 60)
+    root = str(tmp_path)
+    df = spark.createDataFrame(listed, "id long, status string, chunks long, error string")
+    L.publish({"listed": df, "unknown": df.select("id").limit(0)}, root)
+    put = L.feed_sink(spark, root)
+    for number in range(3):
+        batch = spark.createDataFrame(events[number * 20 : number * 20 + 20], EVENTS)
+        put(batch, number)
+        put(batch, number)
+        put(spark.createDataFrame(events[:20], EVENTS), 0)  # an old batch comes again
+    want, missing = fold(listed, events)
+    assert {r.id: [r.status, r.chunks, r.error] for r in L.published(spark, root, "listed").collect()} == want
+    assert {r.id for r in L.published(spark, root, "unknown").collect()} == missing

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,36 +42,93 @@ def forget(requests: DataFrame, docs: DataFrame, chunks: DataFrame) -> tuple[Dat
 def publish(tables: dict[str, DataFrame], root: str) -> str:
     """Writes the tables as a new immutable snapshot, then lets the manifest name it in one step.
 
-    Readers resolve the manifest once, so they see a snapshot whole or not at all.
+    Readers resolve the manifest once, so they see a snapshot whole or not at all; of several publishers at once each gets a number.
     """
     spark = next(iter(tables.values())).sparkSession
     snapshot = f"{root}/snapshots/{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{snapshot}/{name}")
-    spark.createDataFrame([(snapshot,)], "snapshot string").coalesce(1).write.json(f"{root}/manifests/{_next_manifest(spark, root):012d}")
+    record(spark, root, lambda _: {"snapshot": snapshot})
     return snapshot
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _claimed(spark: SparkSession, path: str, text: str) -> bool:
+    """Lets a file with the text appear at a path in one step; false if somebody else's is there."""
+    at, fs = _path(spark, path)
+    draft, _ = _path(spark, f"{path}.{uuid.uuid4().hex}.draft")
+    fs.mkdirs(at.getParent())
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.exists(at):
+            return False
+        if fs.getScheme() != "file":
+            return fs.rename(draft, at)  # distributed file systems don't replace a file by rename
+        file = lambda p: spark._jvm.java.io.File(p.toUri().getPath()).toPath()
+        spark._jvm.java.nio.file.Files.createLink(file(at), file(draft))
+        return True
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+            return False
+        raise
+    finally:
+        fs.delete(draft, False)
+
+
 def _manifests(spark: SparkSession, root: str) -> list[str]:
-    """Finished manifests, oldest first: a folder without its success marker isn't one."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/manifests/*/_SUCCESS")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(str(f.getPath().getParent().toString()) for f in found or [])
+    """Manifests, oldest first."""
+    at, fs = _path(spark, f"{root}/manifests/*.json")
+    return sorted(str(f.getPath().toString()) for f in fs.globStatus(at) or [])
+
+
+def _body(spark: SparkSession, manifest: str) -> dict:
+    return json.loads(spark.read.text(manifest, wholetext=True).first().value)
 
 
-def _next_manifest(spark: SparkSession, root: str) -> int:
+def newest(spark: SparkSession, root: str) -> dict | None:
+    """What the newest manifest under a root says; none if there is no manifest."""
     found = _manifests(spark, root)
-    return int(found[-1].rsplit("/", 1)[1]) + 1 if found else 0
+    return _body(spark, found[-1]) if found else None
+
+
+def record(spark: SparkSession, root: str, make: Callable[[dict | None], dict]) -> dict:
+    """Writes make(newest manifest) as the next one by compare-and-swap: if another writer was first, make sees theirs and tries again."""
+    while True:
+        found = _manifests(spark, root)
+        n = int(found[-1].rsplit("/", 1)[1].removesuffix(".json")) + 1 if found else 0
+        body = make(_body(spark, found[-1]) if found else None)
+        if _claimed(spark, f"{root}/manifests/{n:012d}.json", json.dumps(body)):
+            return body
 
 
 def published(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of the newest published snapshot."""
-    found = _manifests(spark, root)
-    if not found:
+    found = newest(spark, root)
+    if found is None:
         raise LookupError(f"nothing has been published under {root}")
-    snapshot = json.loads(spark.read.text(found[-1]).first().value)["snapshot"]
-    return spark.read.parquet(f"{snapshot}/{name}")
+    return spark.read.parquet(f"{found['snapshot']}/{name}")
+
+
+def vacuum(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Removes the snapshots of all but the newest manifests, and gives them.
+
+    Only snapshots that a manifest named are touched, so what a publisher is still writing stays; keep bounds how long a reader may
+    go on with what it resolved. Manifests stay, as the record.
+    """
+    named = [_body(spark, m)["snapshot"] for m in _manifests(spark, root)]
+    old = [s for s in dict.fromkeys(named[:-keep]) if s not in named[-keep:]]
+    gone = []
+    for snapshot in old:
+        at, fs = _path(spark, snapshot)
+        if fs.delete(at, True):
+            gone.append(snapshot)
+    return gone
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, visible: tuple[str, ...] = VISIBLE) -> DataFrame:
@@ -102,19 +161,60 @@ def real_failures(failures: DataFrame, catalog: DataFrame) -> DataFrame:
     return failures.join(catalog.select(F.col("id").alias("document_id")), "document_id", "left_semi").select("document_id", F.substring("message", 1, 500).alias("error"))
 
 
+#: Events of an id, by number, that are put in order together, as a power of two: an id with very many is spread over tasks.
+FEED_BITS = 12
+
+
 def apply_feed(listed: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A materialised list after the latest event of each id, and the ids that it doesn't know.
+    """A materialised list after the events of each id in order, field by field, and the ids that the list doesn't know.
 
-    listed: id, status, chunks, error. events: id, seq, change, status, chunks, error (nulls leave what there is; an error goes
-    unless the state is failed).
+    listed: id, status, chunks, error. events: id, seq, change, status, chunks, error. A field that an event lacks (null) keeps its
+    value, but for the error, which only stays while the status is failed. A deletion takes the row away; what comes for its
+    id later, as for one that was never listed, is reported as unknown. Events of an id have distinct numbers; a repeated event changes
+    nothing. Rows without an event stay as they are.
+    """
+    e = events.filter("id is not null and seq is not null").withColumn("block", F.shiftright("seq", FEED_BITS))
+    told = F.col("change") == "documento"
+    gone = e.filter(~told).groupBy("id").agg(F.max("seq").alias("gone"))
+    e = e.filter(told)
+    # the status at each event: the last one told in its block, or before its block; null where only the list knows it
+    before = Window.partitionBy("id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("id", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    starts = e.groupBy("id", "block").agg(F.max_by("status", F.when(F.col("status").isNotNull(), F.col("seq"))).alias("s")).select("id", "block", F.last("s", True).over(before).alias("started"))
+    at = e.withColumn("own", F.last("status", True).over(inside)).join(starts, ["id", "block"]).withColumn("now", F.coalesce("own", "started"))
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq")))
+    clears = F.col("error").isNull()
+    folded = at.groupBy("id").agg(
+        last("status").alias("new_status"), last("chunks").alias("new_chunks"), last("error").alias("new_error"), F.max(F.when(~clears, F.col("seq"))).alias("set_at"),
+        F.max(F.when(clears & (F.col("now") != "failed"), F.col("seq"))).alias("cleared"), F.max(F.when(clears & F.col("now").isNull(), F.col("seq"))).alias("cleared_if"), F.max("seq").alias("newest"),
+    )
+    both = listed.withColumn("known", F.lit(True)).join(folded, "id", "full_outer").join(gone, "id", "left")
+    unknown = both.filter(F.col("newest").isNotNull() & (F.col("known").isNull() | (F.col("newest") > F.col("gone")))).select("id")
+    cleared = F.greatest("cleared", F.when(~F.col("status").eqNullSafe("failed"), F.col("cleared_if")))
+    error = F.when(F.col("set_at") > F.coalesce(cleared, F.col("set_at") - 1), F.col("new_error")).when(cleared.isNull() & F.col("set_at").isNull(), F.col("error"))
+    kept = both.filter(F.col("known") & F.col("gone").isNull())
+    return kept.select("id", F.coalesce("new_status", "status").alias("status"), F.coalesce("new_chunks", "chunks").alias("chunks"), error.alias("error")), unknown
+
+
+def feed_sink(spark: SparkSession, root: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps the published list under a root (tables listed and unknown) up with a feed.
+
+    The manifest names the batch that it has applied, so a batch that is run again after a failure, or twice, changes nothing.
     """
-    last = events.groupBy("id").agg(F.max_by(F.struct("change", F.col("status").alias("new_status"), F.col("chunks").alias("new_chunks"), F.col("error").alias("new_error")), "seq").alias("e"))
-    both = listed.join(last, "id", "full_outer")
-    unknown = both.filter(F.col("status").isNull() & (F.col("e.change") == "documento")).select("id")
-    kept = both.filter(F.col("status").isNotNull() & ~F.coalesce(F.col("e.change") == "eliminado", F.lit(False)))
-    status = F.coalesce("e.new_status", "status")
-    error = F.when(status == "failed", F.coalesce("e.new_error", "error"))
-    return kept.select("id", status.alias("status"), F.coalesce("e.new_chunks", "chunks").alias("chunks"), error.alias("error")), unknown
+
+    def put(batch: DataFrame, number: int) -> None:
+        now = newest(spark, root)
+        if now is None:
+            raise LookupError(f"no list has been published under {root}")
+        if now.get("batch", -1) >= number:
+            return
+        listed, unknown = apply_feed(spark.read.parquet(f"{now['snapshot']}/listed"), batch)
+        snapshot = f"{root}/snapshots/{uuid.uuid4().hex}"
+        listed.write.parquet(f"{snapshot}/listed")
+        unknown.unionByName(spark.read.parquet(f"{now['snapshot']}/unknown")).distinct().write.parquet(f"{snapshot}/unknown")
+        record(spark, root, lambda found: {"snapshot": snapshot, "batch": number} if found.get("batch", -1) < number else found)
+
+    return put
 
 
 def claimable(jobs: DataFrame, now: Column) -> DataFrame:

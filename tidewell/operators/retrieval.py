@@ -49,9 +49,9 @@ def stemmed(word: str) -> str:
     return word
 
 
-def analysed(chunks: DataFrame, stop: list[str], stem: Callable[[str], str] | None = stemmed) -> DataFrame:
-    """document_id, ordinal, pos, term: words that aren't stop words, stemmed. Each distinct word is stemmed once."""
-    tokens = chunks.select("document_id", "ordinal", F.posexplode(terms(F.col("content"))).alias("pos", "word")).filter(~F.col("word").isin(stop))
+def analysed(chunks: DataFrame, stop: list[str], stem: Callable[[str], str] | None = stemmed, carry: tuple[str, ...] = ()) -> DataFrame:
+    """document_id, ordinal, carried columns, pos, term: words that aren't stop words, stemmed. Each distinct word is stemmed once."""
+    tokens = chunks.select("document_id", "ordinal", *carry, F.posexplode(terms(F.col("content"))).alias("pos", "word")).filter(~F.col("word").isin(*stop))
     if stem is None:
         return tokens.withColumnRenamed("word", "term")
 
@@ -60,7 +60,7 @@ def analysed(chunks: DataFrame, stop: list[str], stem: Callable[[str], str] | No
         return words.map(stem)
 
     known = tokens.select("word").distinct().withColumn("term", stems("word"))
-    return tokens.join(known, "word").select("document_id", "ordinal", "pos", "term")
+    return tokens.join(known, "word").select("document_id", "ordinal", *carry, "pos", "term")
 
 
 def postings(tokens: DataFrame) -> DataFrame:
@@ -88,17 +88,11 @@ def matching(index: DataFrame, queries: DataFrame) -> DataFrame:
 
 def lexical_scores(queries: DataFrame, index: DataFrame) -> DataFrame:
     """A tenth for every matched position."""
-    return or_matches(queries, index).groupBy("qid", "document_id", "ordinal").agg(F.round(F.sum("tf") * F.lit(0.1), 6).alias("score"))
+    return summed_scores(or_matches(queries, index))
 
 
-def bm25_scores(queries: DataFrame, index: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The usual alternative to lexical_scores()."""
-    lengths = index.groupBy("document_id", "ordinal").agg(F.sum("tf").alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    hits = or_matches(queries, index).join(document_frequency(index), "term").join(lengths, ["document_id", "ordinal"]).crossJoin(F.broadcast(stats))  # one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return hits.groupBy("qid", "document_id", "ordinal").agg(F.sum(part).alias("score"))
+def summed_scores(matches: DataFrame) -> DataFrame:
+    return matches.groupBy("qid", "document_id", "ordinal").agg(F.round(F.sum("tf") * F.lit(0.1), 6).alias("score"))
 
 
 def hashed_embedding(texts: list[str], dimension: int = SETTINGS.dimension) -> np.ndarray:
@@ -309,30 +303,22 @@ def valid_questions(queries: DataFrame, k: int) -> DataFrame:
     return queries.withColumn("question", F.trim("question")).filter("question != ''")
 
 
-def lexical_top_k(queries: DataFrame, index: DataFrame, view: DataFrame, k: int, key: list[str]) -> DataFrame:
-    """The best k chunks of the view by lexical_scores(): the questions' terms cut the postings before the view does."""
-    seen = matching(index, queries).join(view.select(*key), key, "left_semi")
-    return top_k(lexical_scores(queries, seen), ["qid"], [F.desc("score"), *map(F.col, key)], k)
-
+def lexical_top_k(queries: DataFrame, index, view: DataFrame, docs: DataFrame, k: int, key: list[str]) -> DataFrame:
+    """The best k chunks of the view (retrievable chunks of docs) by lexical_scores().
 
-def store_index(chunks: DataFrame, stop: list[str], stem: Callable[[str], str] | None, at: str) -> None:
-    """The chunks with their embeddings (document_id, ordinal, heading, content, embedding) and their postings, as tables under a folder.
-
-    Chunks are dealt by their keys first: Python and tokens then get even shares whatever the sizes of files, row groups and
-    documents are. Postings lie in ranges of term and document, so that a term's stand together in few files and a frequent one's
-    in many.
+    index: a stored one (operators.index.Index), which opens few blocks, or a table of postings, where the questions' terms
+    cut the postings before the view does.
     """
-    spark = chunks.sparkSession
-    text = embedding_text(F.col("heading"), F.col("content"))
-    chunks.repartition("document_id", "ordinal").withColumn("embedding", embedder()(text)).write.parquet(f"{at}/chunks")
-    index = postings(analysed(spark.read.parquet(f"{at}/chunks"), stop, stem))
-    index.repartitionByRange("term", "document_id").sortWithinPartitions("term", "document_id", "ordinal").write.parquet(f"{at}/postings")
+    if not isinstance(index, DataFrame):
+        return index.top_k(queries, k, only=lambda rows: retrievable(rows.withColumn("embedding", F.lit(True)), docs).select(*rows.columns))
+    seen = matching(index, queries).join(view.select(*key), key, "left_semi")
+    return top_k(lexical_scores(queries, seen), ["qid"], [F.desc("score"), *map(F.col, key)], k)
 
 
-def consult(queries: DataFrame, chunks: DataFrame, docs: DataFrame, index: DataFrame, k: int = SETTINGS.context_top_k, pool: int = SETTINGS.retrieve_top_k, gate: str = "lexical") -> DataFrame:
+def consult(queries: DataFrame, chunks: DataFrame, docs: DataFrame, index, k: int = SETTINGS.context_top_k, pool: int = SETTINGS.retrieve_top_k, gate: str = "lexical") -> DataFrame:
     """Fragments for each question: hybrid candidates, pair scores, revalidation, evidence.
 
-    chunks: document_id, ordinal, heading, content, embedding; queries: qid, question, qvec. gate "reference" takes the fused
+    chunks: document_id, ordinal, heading, content, embedding; queries: qid, question, qvec; index as for lexical_top_k(). gate "reference" takes the fused
     score alone, which any retrievable chunk passes; "lexical" takes the pair score.
     """
     key = ["document_id", "ordinal"]
@@ -341,7 +327,7 @@ def consult(queries: DataFrame, chunks: DataFrame, docs: DataFrame, index: DataF
     vectors = view.select(*key, normalised(doubles(F.col("embedding"))).alias("vec")).filter("vec is not null")
     deep = 2 * max(pool, k)
     dense = dense_top_k(asked.select("qid", "qvec"), vectors, deep, key)
-    lexical = lexical_top_k(asked, index, view, deep, key)
+    lexical = lexical_top_k(asked, index, view, docs, deep, key)
     candidates = fused(dense, lexical, key, max(pool, k))
     shown = candidates.join(view.select(*key, "filename", "heading", "content"), key).join(asked.select("qid", "question"), "qid")
     score = F.round(rrf_share(F.col("score")), 6) if gate == "reference" else overlap_score(F.col("question"), F.col("heading"), F.col("content"))

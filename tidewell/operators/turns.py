@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.quantiles import exact_percentiles
+
 FRAME_MS = 32
 THRESHOLD = 0.5
 START_MS, BARGE_IN_MS, SILENCE_MS = 96, 96, 640
@@ -107,4 +109,9 @@ def stage_aliases(latencies: Column) -> dict[str, Column]:
 
 def scenario_medians(runs: DataFrame, metrics: list[str]) -> DataFrame:
     """Medians of the metrics, runs with a detection, and runs, for each (scenario, variant)."""
-    return runs.groupBy("scenario", "variant").agg(*(F.median(m).alias(m) for m in metrics), F.count_if("detected").alias("detections"), F.count("*").alias("n"))
+    key = ["scenario", "variant"]
+    out = runs.groupBy(*key).agg(F.count_if("detected").alias("detections"), F.count("*").alias("n"))
+    for m in metrics:
+        found = exact_percentiles(runs, key, m, [0.5]).select(F.col("scenario").alias("_s"), F.col("variant").alias("_v"), F.col("p0").alias(m))
+        out = out.join(found, F.col("scenario").eqNullSafe(F.col("_s")) & F.col("variant").eqNullSafe(F.col("_v"))).drop("_s", "_v")
+    return out.select(*key, *metrics, "detections", "n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.quantiles import exact_percentiles
+
 MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
 CALL_STATUS = {"active": "en_curso", "completed": "completada", "escalated": "completada", "failed": "interrumpida"}
 ROLES = {"agent": "agente", "patient": "paciente", "system": "sistema"}
@@ -154,14 +156,17 @@ def close_status(closes: DataFrame) -> DataFrame:
 
 
 def span_percentiles(traces: DataFrame) -> DataFrame:
-    return traces.groupBy("span").agg(F.percentile("duration_ms", 0.5).alias("p50"), F.percentile("duration_ms", 0.95).alias("p95"), F.count("*").alias("n"))
+    """Exact percentiles of each span, few and large groups that no task holds."""
+    counts = traces.groupBy("span").agg(F.count("*").alias("rows"))
+    found = exact_percentiles(traces, ["span"], "duration_ms", [0.5, 0.95]).withColumnRenamed("span", "_span")
+    return counts.join(found, F.col("span").eqNullSafe(F.col("_span"))).select("span", F.col("p0").alias("p50"), F.col("p1").alias("p95"), F.col("rows").alias("n"))
 
 
 def end_to_end(traces: DataFrame) -> DataFrame:
     """Sum of the stages' percentiles beside the percentile of the calls' sums."""
     staged = span_percentiles(traces).agg(F.sum("p50").alias("sum_p50"), F.sum("p95").alias("sum_p95"))
-    total = traces.groupBy("call_id").agg(F.sum("duration_ms").alias("total")).agg(F.percentile("total", 0.5).alias("true_p50"), F.percentile("total", 0.95).alias("true_p95"))
-    return staged.crossJoin(total)  # one row each
+    total = exact_percentiles(traces.groupBy("call_id").agg(F.sum("duration_ms").alias("total")), [], "total", [0.5, 0.95])
+    return staged.crossJoin(total.select(F.col("p0").alias("true_p50"), F.col("p1").alias("true_p95")))  # one row each
 
 
 def stage_medians(traces: DataFrame) -> DataFrame:

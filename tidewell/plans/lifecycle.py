@@ -12,6 +12,7 @@ from tidewell.operators import lifecycle as L
 from tidewell.plans import standins as S
 from tidewell.plans.registry import query
 from tidewell.plans.standins import ASOF_EVENT, with_tables
+from tidewell.streaming.run import files
 
 def now():
     return F.lit(ASOF_EVENT).cast("timestamp")
@@ -108,16 +109,49 @@ def lc9(spark, d) -> DataFrame:
     return L.real_failures(failures, S.docs(spark, d).filter("id % 3 > 0"))
 
 
-@query("lc10", with_tables("docs traces", """
-, last AS (SELECT call_id * 3 AS id, arg_max(span, id) AS span, arg_max(duration_ms, id) AS v FROM traces GROUP BY 1)
-SELECT d.id, coalesce(CASE l.span WHEN 'click' THEN 'ready' WHEN 'view' THEN 'failed' END, d.status) AS status, coalesce(CASE WHEN l.span = 'purchase' THEN CAST(floor(l.v) AS BIGINT) END, 1) AS chunks,
-CASE WHEN coalesce(CASE l.span WHEN 'click' THEN 'ready' WHEN 'view' THEN 'failed' END, d.status) = 'failed' THEN coalesce(CASE WHEN l.span = 'view' THEN 'new' END, 'old') END AS error FROM docs d LEFT JOIN last l ON l.id = d.id WHERE l.span IS DISTINCT FROM 'error'"""))
-def lc10(spark, d) -> DataFrame:
-    """The listed documents after their users' last events."""
-    listed = S.docs(spark, d).select("id", "status", F.lit(1).cast("long").alias("chunks"), F.lit("old").alias("error"))
+#: What the events say: views fail, clicks make ready, purchases count chunks and say nothing of the status; few documents go.
+LC10_SQL = "WITH RECURSIVE" + with_tables("docs traces", """
+, ev AS (SELECT call_id * 3 AS id, row_number() OVER (PARTITION BY call_id ORDER BY id) AS n, id % 997 = 0 AS gone, CASE span WHEN 'click' THEN 'ready' WHEN 'view' THEN 'failed' WHEN 'error' THEN 'failed' END AS status, CASE WHEN span = 'purchase' THEN CAST(floor(duration_ms) AS BIGINT) END AS chunks, CASE WHEN span = 'view' THEN 'event ' || id END AS error FROM traces),
+f AS (SELECT id, 0 AS n, status, CAST(1 AS BIGINT) AS chunks, 'old' AS error, false AS gone FROM docs
+  UNION ALL SELECT f.id, e.n, coalesce(e.status, f.status), coalesce(e.chunks, f.chunks), coalesce(e.error, CASE WHEN coalesce(e.status, f.status) = 'failed' THEN f.error END), f.gone OR e.gone FROM f JOIN ev e ON e.id = f.id AND e.n = f.n + 1)
+SELECT id, status, chunks, error FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC) AS newest FROM f) WHERE newest = 1 AND NOT gone""")[4:]
+
+
+def _listed(spark, d) -> DataFrame:
+    return S.docs(spark, d).select("id", "status", F.lit(1).cast("long").alias("chunks"), F.lit("old").alias("error"))
+
+
+def _feed(spark, d) -> DataFrame:
     span = F.col("span")
-    events = S.traces(spark, d).select((F.col("call_id") * 3).alias("id"), F.col("id").alias("seq"), F.when(span == "error", "eliminado").otherwise("documento").alias("change"), F.when(span == "click", "ready").when(span == "view", "failed").alias("status"), F.when(span == "purchase", F.floor("duration_ms")).alias("chunks"), F.when(span == "view", "new").alias("error"))
-    return L.apply_feed(listed, events)[0]
+    told = S.traces(spark, d).select((F.col("call_id") * 3).alias("id"), F.col("id").alias("seq"), span.alias("span"), "duration_ms")
+    status = F.when(span == "click", "ready").when(span.isin("view", "error"), "failed")
+    return told.select("id", "seq", F.when(F.col("seq") % 997 == 0, "eliminado").otherwise("documento").alias("change"), status.alias("status"), F.when(span == "purchase", F.floor("duration_ms")).alias("chunks"), F.when(span == "view", F.concat(F.lit("event "), F.col("seq").cast("string"))).alias("error"))
+
+
+@query("lc10", LC10_SQL)
+def lc10(spark, d) -> DataFrame:
+    """The listed documents after all events of their users, field by field."""
+    return L.apply_feed(_listed(spark, d), _feed(spark, d))[0]
+
+
+@query("lc10_stream", LC10_SQL)
+def lc10_stream(spark, d) -> DataFrame:
+    """The same list kept by a stream of the events in four batches; the third one is applied twice."""
+    at, events = root(spark), root(spark)
+    L.publish({"listed": _listed(spark, d), "unknown": _listed(spark, d).select("id").limit(0)}, at)
+    cut = _feed(spark, d)
+    quarters = [0, *cut.agg(F.percentile_approx("seq", [0.25, 0.5, 0.75]).alias("q")).first().q, None]
+    for low, high in zip(quarters, quarters[1:], strict=False):
+        part = cut.filter(F.col("seq") > low) if high is None else cut.filter((F.col("seq") > low) & (F.col("seq") <= high))
+        (part if low else cut.filter(F.col("seq") <= high)).coalesce(1).write.mode("append").parquet(events)  # one file a batch, oldest first
+    put = L.feed_sink(spark, at)
+
+    def twice(batch: DataFrame, number: int) -> None:
+        for _ in range(2 if number == 2 else 1):
+            put(batch, number)
+
+    files(spark, events).writeStream.foreachBatch(twice).option("checkpointLocation", root(spark)).trigger(availableNow=True).start().awaitTermination()
+    return L.published(spark, at, "listed")
 
 
 @query("jb1", with_tables("traces", f", {JOBS} SELECT id, document_id, status FROM jobs WHERE attempts < max_attempts AND (status = 'queued' AND run_after <= {T} OR status = 'running' AND locked_at < {T} - INTERVAL 5 MINUTE)"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators import views as V
+from tidewell.operators.quantiles import rolling_percentile
 from tidewell.plans import standins as S
 from tidewell.plans.registry import query
 from tidewell.plans.standins import ASOF_DAY, with_tables
@@ -324,13 +325,16 @@ def wn2(spark, d) -> DataFrame:
     return heading_levels(S.lines(spark, d).select("document_id", (8 + (F.length("content") % 13) / 4.0).alias("font_size"), F.col("content").alias("text")))
 
 
-@query("wn3", with_tables("traces", "SELECT id, round(quantile_cont(duration_ms, 0.95) OVER (PARTITION BY call_id ORDER BY id ROWS BETWEEN 4095 PRECEDING AND CURRENT ROW), 6) AS p95 FROM traces"))
+#: Every call's frames, and all frames of the log as one stream, which fills the frame of 4,096.
+WN3_SQL = with_tables("traces", "SELECT id, round(quantile_cont(duration_ms, 0.95) OVER (PARTITION BY call_id ORDER BY id ROWS BETWEEN 4095 PRECEDING AND CURRENT ROW), 6) AS p95_call, round(quantile_cont(duration_ms, 0.95) OVER (ORDER BY id ROWS BETWEEN 4095 PRECEDING AND CURRENT ROW), 6) AS p95_log FROM traces")
+
+
+@query("wn3", WN3_SQL)
 def wn3(spark, d) -> DataFrame:
     """Rolling 95th percentile over a stream's last 4,096 frames."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("call_id").orderBy("id").rowsBetween(-4095, 0)
-    return S.traces(spark, d).select("id", F.round(F.percentile("duration_ms", F.lit(0.95)).over(w), 6).alias("p95"))
+    frames = S.traces(spark, d).select("id", "call_id", F.lit(0).alias("log"), "duration_ms")
+    of = lambda by, name: rolling_percentile(frames, [by], "id", "duration_ms", 0.95, 4_096).select("id", F.round("p", 6).alias(name))
+    return of("call_id", "p95_call").join(of("log", "p95_log"), "id")
 
 
 @query("wn4", """

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators import evaluation as E
+from tidewell.operators import index as I
 from tidewell.operators import retrieval as R
 from tidewell.plans import standins as S
 from tidewell.plans.registry import query
@@ -29,24 +30,20 @@ def plain_chunks(spark, d) -> DataFrame:
     return S.lines(spark, d).select("document_id", F.col("line_no").alias("ordinal"), F.col("lang").alias("heading"), "content")
 
 
-def stored(spark, d) -> str:
+def stored(spark, d) -> I.Index:
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
     changed = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).getModificationTime()
     known = (spark.sparkContext.applicationId, d, changed)
     if known not in STORED:
         path = folder(spark)
-        R.store_index(plain_chunks(spark, d), STOP, None, path)
+        I.update(spark, path, plain_chunks(spark, d), stop=STOP)
         STORED[known] = path
-    return STORED[known]
+    return I.Index(spark, STORED[known])
 
 
 def chunks(spark, d) -> DataFrame:
     """Every line of every document, with the vector of its heading and text."""
-    return spark.read.parquet(f"{stored(spark, d)}/chunks")
-
-
-def index(spark, d) -> DataFrame:
-    return spark.read.parquet(f"{stored(spark, d)}/postings")
+    return stored(spark, d).chunks()
 
 
 def questions(spark, d) -> DataFrame:
@@ -97,7 +94,7 @@ ALL_FUSED = f"docs {ALL_LEXICAL} view chunk_unit asked_unit near_chunks dense_ra
 
 
 def sql(names: str, body: str) -> str:
-    return "WITH " + ", ".join(f"{n} AS ({CTES[n]})" for n in names.split()) + " " + body
+    return "WITH " + ", ".join(f"{n} AS ({CTES[n]})" for n in names.split()) + ("" if body.lstrip().startswith(",") else " ") + body
 
 
 @query("ix1", sql("lines tokens", "SELECT term, count(*) AS n FROM tokens GROUP BY 1"))
@@ -116,19 +113,56 @@ def ix1_stemmed(spark, d) -> DataFrame:
 
 @query("ix2", sql("lines tokens postings", "SELECT p.term, p.document_id, p.ordinal, p.tf, f.df FROM postings p JOIN (SELECT term, count(*) AS df FROM postings GROUP BY 1) f USING (term)"))
 def ix2(spark, d) -> DataFrame:
-    found = index(spark, d)
+    found = stored(spark, d).postings()
     return found.join(R.document_frequency(found), "term").select("term", "document_id", "ordinal", "tf", "df")
 
 
+#: What is left after the updates of ix2_updates: no document with a number divisible by 7.
+LEFT = "left_ AS (SELECT * FROM tokens WHERE document_id % 7 <> 0), posted AS (SELECT term, document_id, ordinal, count(*) AS tf FROM left_ GROUP BY 1, 2, 3)"
+
+
+@query("ix2_updates", sql("lines tokens", f", {LEFT} SELECT p.term, p.document_id, p.ordinal, p.tf, f.df FROM posted p JOIN (SELECT term, count(*) AS df FROM posted GROUP BY 1) f USING (term)"))
+def ix2_updates(spark, d) -> DataFrame:
+    """Postings of an index that was built from other texts, then changed, added to, made to forget, and compacted.
+
+    Frequencies come from the stored statistics.
+    """
+    at, lines = folder(spark), plain_chunks(spark, d)
+    old = lines.filter("document_id % 3 = 0").withColumn("content", F.reverse("content"))
+    I.update(spark, at, old.unionByName(lines.filter("document_id % 3 = 1")), stop=STOP)
+    I.update(spark, at, lines.filter("document_id % 3 = 0"), stop=STOP)
+    I.update(spark, at, lines.filter("document_id % 3 = 2"), lines.filter("document_id % 7 = 0 and document_id % 3 < 2").select("document_id"), stop=STOP)
+    I.compact(spark, at)
+    I.update(spark, at, gone=lines.filter("document_id % 7 = 0").select("document_id"), stop=STOP)
+    index = I.Index(spark, at)
+    return index.postings().join(index.statistics().select("term", "df"), "term").select("term", "document_id", "ordinal", "tf", "df")
+
+
 @query("ix3", sql("lines tokens postings asked", "SELECT a.qid, count(*) AS hits, count(DISTINCT (document_id, ordinal)) AS chunks FROM asked a JOIN postings p ON p.term = a.term GROUP BY 1"))
 def ix3(spark, d) -> DataFrame:
-    found = R.or_matches(questions(spark, d), index(spark, d))
+    found = stored(spark, d).matches(questions(spark, d))
     return found.groupBy("qid").agg(F.count("*").alias("hits"), F.count_distinct("document_id", "ordinal").alias("chunks"))
 
 
 @query("ix4", sql(ALL_LEXICAL, "SELECT qid, document_id, ordinal, score FROM lexical"))
 def ix4(spark, d) -> DataFrame:
-    return R.lexical_scores(questions(spark, d), index(spark, d))
+    return R.summed_scores(stored(spark, d).matches(questions(spark, d)))
+
+
+@query("ix4_top", sql(ALL_LEXICAL, "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, document_id, ordinal) AS rank FROM lexical) WHERE rank <= 10"))
+def ix4_top(spark, d) -> DataFrame:
+    """The ten best chunks of each question, opening only blocks whose bound reaches the tenth score."""
+    return stored(spark, d).top_k(questions(spark, d), 10)
+
+
+@query("ix4_bm25", sql("lines tokens postings asked", """
+, lens AS (SELECT document_id, ordinal, sum(tf) AS len FROM postings GROUP BY 1, 2), stats AS (SELECT count(*) AS n, avg(len) AS mean FROM lens),
+df AS (SELECT term, count(*) AS df FROM postings GROUP BY 1),
+scores AS (SELECT a.qid, p.document_id, p.ordinal, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))), 6) AS score FROM asked a JOIN postings p USING (term) JOIN df USING (term) JOIN lens l ON l.document_id = p.document_id AND l.ordinal = p.ordinal CROSS JOIN stats GROUP BY 1, 2, 3)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, document_id, ordinal) AS rank FROM scores) WHERE rank <= 10"""))
+def ix4_bm25(spark, d) -> DataFrame:
+    """The same by BM25, with bounds from a block's highest count and shortest chunk."""
+    return stored(spark, d).top_k(questions(spark, d), 10, "bm25")
 
 
 @query("ix5")
@@ -162,7 +196,7 @@ def _branches(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     view = R.retrievable(chunks(spark, d), S.docs(spark, d))
     vecs = view.select(*KEY, R.normalised(R.doubles(F.col("embedding"))).alias("vec"))
     dense = R.dense_top_k(asked.select("qid", "qvec"), vecs, 16, KEY)
-    lexical = R.lexical_top_k(asked, index(spark, d), view, 16, KEY)
+    lexical = R.lexical_top_k(asked, stored(spark, d), view, S.docs(spark, d), 16, KEY)
     return dense, lexical, view
 
 
@@ -249,7 +283,7 @@ def rt8(spark, d) -> DataFrame:
 @query("rt9", sql(f"{ALL_FUSED} paired scored best gate", "SELECT b.qid, b.document_id, b.ordinal, b.rank, b.score, concat_ws(' › ', b.filename, b.heading) AS citation, b.content FROM best b JOIN gate g ON g.qid = b.qid AND g.evidence"))
 def rt9(spark, d) -> DataFrame:
     """The consult pipeline for all benchmark questions."""
-    return R.consult(questions(spark, d), chunks(spark, d), S.docs(spark, d), index(spark, d))
+    return R.consult(questions(spark, d), chunks(spark, d), S.docs(spark, d), stored(spark, d))
 
 
 @query("jn9", sql(ALL_FUSED, "SELECT f.qid, count(*) FILTER (f.document_id % 2 = 1) AS kept, count(*) FILTER (f.document_id % 2 = 0) AS withdrawn FROM fused f GROUP BY 1"))
@@ -265,7 +299,7 @@ def jn9(spark, d) -> DataFrame:
 def rt10(spark, d) -> DataFrame:
     """Learn and forget: each question's answer before and after the documents of all answers are gone from the snapshot."""
     asked, docs = questions(spark, d), S.docs(spark, d)
-    return E.forgetting(asked, chunks(spark, d), docs, index(spark, d))
+    return E.forgetting(asked, chunks(spark, d), docs, stored(spark, d))
 
 
 @query("tx12", S.with_tables("lines", "SELECT document_id, line_no AS ordinal, lang || chr(10) || chr(10) || content AS embedding_text FROM lines"))

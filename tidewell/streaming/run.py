@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 
 def files(spark: SparkSession, path: str, each: int = 1) -> DataFrame:
@@ -24,10 +25,32 @@ def folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+#: Where streams keep their state: on the executors' disks with change logs in the checkpoint, not in their heaps.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def started(writer, spark: SparkSession) -> StreamingQuery:
+    """Starts a stream's writer with its state in STORE; the session's own setting is as before afterwards."""
+    before = spark.conf.get(STORE[0], None)
+    spark.conf.set(*STORE)
+    try:
+        return writer.start()
+    finally:
+        if before is None:
+            spark.conf.unset(STORE[0])
+        else:
+            spark.conf.set(STORE[0], before)
+
+
 def to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What a stream over files gives once all that is there has been read; a restart goes on from its checkpoint."""
     spark = stream.sparkSession
     at = folder(spark)
-    query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
+    writer = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True)
+    started(writer, spark).awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+def split_late(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The result of an operator of streaming.ending, and the rows that came too late for it, as JSON."""
+    return rows.filter("not late").drop("late", "late_row"), rows.filter("late").select("late_row")

@@ -1,7 +1,7 @@
-"""Stateful streams: alarms, speech turns, change feed, leases, conversations, sentences.
+"""Speech turns as a stream, and what batch and stream share of conversations and sentences.
 
-Each operator keeps one small state for its key and gives the same rows however the stream is cut into batches: rows carry a
-sequence number, and those of a batch are put in its order first. Watermarks only bound state where a timer is used.
+Speech turns keep one small state for a stream of frames and give the same rows however it is cut into batches: frames carry their
+number, and those of a batch are put in its order first. Streams whose keys end are in streaming.ending.
 """
 
 from __future__ import annotations
@@ -34,24 +34,6 @@ def fold(stream: DataFrame, key: str, order: str, schema: str, start: dict, step
     return stream.groupBy(key).applyInPandasWithState(run, schema, "held string", "append", GroupStateTimeout.NoTimeout)
 
 
-def alarms(stream: DataFrame) -> DataFrame:
-    """call_id, id, phase (alarm, confirmation) of summed patient turns (call_id, id, flagged boolean).
-
-    The first flagged turn arms the call, the patient's next turn ends it; later flags don't arm it again.
-    """
-
-    def step(held: dict, row: dict) -> list[tuple]:
-        if held["phase"] == 0 and row["flagged"]:
-            held["phase"] = 1
-            return [(row["call_id"], row["id"], "alarm")]
-        if held["phase"] == 1:
-            held["phase"] = 2
-            return [(row["call_id"], row["id"], "confirmation")]
-        return []
-
-    return fold(stream, "call_id", "id", "call_id long, id long, phase string", {"phase": 0}, step)
-
-
 def speech(stream: DataFrame, silence_ms: int = SILENCE_MS) -> DataFrame:
     """The events of operators.turns.speech_events from a stream of frames; the clock is the frame number."""
 
@@ -74,52 +56,6 @@ def speech(stream: DataFrame, silence_ms: int = SILENCE_MS) -> DataFrame:
     return fold(stream, "stream_id", "frame_no", "stream_id long, kind string, ms long, decision_ms long", {"voiced": 0, "silent": 0, "last": 0, "speaking": False}, step)
 
 
-def change_feed(stream: DataFrame) -> DataFrame:
-    """id, seq, change for each row (id, seq, visible string or null when gone) that changes what is seen of a document."""
-
-    def step(held: dict, row: dict) -> list[tuple]:
-        now = None if row["visible"] is None or pd.isna(row["visible"]) else row["visible"]
-        if now == held["seen"]:
-            return []
-        held["seen"] = now
-        return [(row["id"], row["seq"], "eliminado" if now is None else "documento")]
-
-    return fold(stream, "id", "seq", "id long, seq long, change string", {"seen": None}, step)
-
-
-def lease_gaps(stream: DataFrame, lease_ms: int) -> DataFrame:
-    """job_id, at_ms, orphaned_ms: a heartbeat (job_id, at_ms) that comes after the lease has ended tells of an orphan from then on."""
-
-    def step(held: dict, row: dict) -> list[tuple]:
-        last, held["last"] = held["last"], int(row["at_ms"])
-        if last is not None and held["last"] - last > lease_ms:
-            return [(row["job_id"], row["at_ms"], held["last"] - last - lease_ms)]
-        return []
-
-    return fold(stream, "job_id", "at_ms", "job_id long, at_ms long, orphaned_ms long", {"last": None}, step)
-
-
-def expired_leases(stream: DataFrame, time: str, lease: str) -> DataFrame:
-    """job_id, expired_at for jobs whose last heartbeat (job_id, time) is a lease behind the watermark, by event-time timer."""
-    minutes = int(lease.split()[0]) * 60_000
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last = state.get[0]
-            state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "expired_at_ms": [last + minutes]})
-            return
-        newest = max(int(p[time].max().timestamp() * 1000) for p in parts)
-        newest = max(newest, state.get[0]) if state.exists else newest
-        state.update((newest,))
-        if newest + minutes > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(newest + minutes)
-        else:
-            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 1)
-
-    return stream.withWatermark(time, "1 minutes").groupBy("job_id").applyInPandasWithState(run, "job_id long, expired_at_ms long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def conversation_step(held: dict, kind: str, body: dict, instant: int) -> None:
     """One message into the state of a call's conversation.
 
@@ -170,16 +106,6 @@ def _folded(call_id: int, held: dict) -> tuple:
     return (call_id, len(held["said"]), sum(u["open"] for u in held["said"]), len(held["citations"]), held["interruptions"], held["discarded_ms"], held["end"], flag, " | ".join(f"{u['who']}: {u['text']}" for u in held["said"]))
 
 
-def conversations(stream: DataFrame) -> DataFrame:
-    """The folded conversation of each call after every message (call_id, seq, kind, body JSON) that ends it."""
-
-    def step(held: dict, row: dict) -> list[tuple]:
-        conversation_step(held, row["kind"], json.loads(row["body"]), int(row["seq"]))
-        return [_folded(row["call_id"], held)] if row["kind"] == "fin" else []
-
-    return fold(stream, "call_id", "seq", FOLDED, CONVERSATION, step)
-
-
 def folded_batch(messages: DataFrame) -> DataFrame:
     """The same for whole calls at once; one call is one group."""
 
@@ -200,17 +126,3 @@ def sentence_pieces(pending: str, split: Callable[[str], list[str]]) -> tuple[li
     at = pending.rfind(found[-1])
     rest = pending[at:] if at >= 0 else found[-1] + pending[len(pending.rstrip()) :]
     return found[:-1], rest
-
-
-def sentences(stream: DataFrame, split: Callable[[str], list[str]]) -> DataFrame:
-    """Sentences of each turn as soon as they are closed, from its pieces (turn_id, seq, piece, last boolean)."""
-
-    def step(held: dict, row: dict) -> list[tuple]:
-        closed, held["rest"] = sentence_pieces(held["rest"] + row["piece"], split)
-        if row["last"] and held["rest"].strip():
-            closed, held["rest"] = [*closed, held["rest"].strip()], ""
-        out = [(row["turn_id"], held["n"] + i, s) for i, s in enumerate(closed)]
-        held["n"] += len(closed)
-        return out
-
-    return fold(stream, "turn_id", "seq", "turn_id long, nth long, sentence string", {"rest": "", "n": 0}, step)
