@@ -12,9 +12,11 @@ Documents of an update are the only ones that are tokenised and embedded; compac
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,14 +24,17 @@ from tidewell.operators import lifecycle as L
 from tidewell.operators import retrieval as R
 
 KEY = ["document_id", "ordinal"]
-#: Chunks of a range, as a power of two; folders of postings by hash of the term; ranges that a question looks at first.
-RANGE_BITS, BUCKETS, SEEDS = 6, 64, 4
+#: Chunks of a range, as a power of two; folders of postings by hash of the term; ranges that a question looks at
+#: first; parts that a folder's ranges are dealt into, since one frequent term may fill a folder.
+RANGE_BITS, BUCKETS, SEEDS, SPREAD = 6, 64, 4, 64
 #: Parameters of BM25, and what a bound may lack by rounding.
 K1, B, SLACK = 1.2, 0.75, 1e-6
+#: Up to so many postings, counted for each question, of so many terms of questions are simply added up: bounds cost more than that.
+DIRECT_HITS, MOST_TERMS = 1_000_000_000, 1_000_000
 
 
 #: Blocks as they are stored; said here since a segment that only forgets has none to tell by.
-BLOCKS = "term string, range long, n long, max_tf long, min_len long, hits array<struct<document_id: long, ordinal: long, tf: long, len: long, positions: array<int>>>, bucket int"
+BLOCKS = "term string, range long, n long, max_tf long, min_len long, hits array<struct<document_id: long, ordinal: long, tf: long, len: long>>, positions array<array<int>>, bucket int"
 Only = Callable[[DataFrame], DataFrame]
 
 
@@ -37,6 +42,15 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def flagged_last(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bool, pd.DataFrame]]:
+    """Each batch with whether it is the last one."""
+    now = next(batches, None)
+    while now is not None:
+        after = next(batches, None)
+        yield after is None, now
+        now = after
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -49,8 +63,11 @@ def _placed(chunks: DataFrame) -> DataFrame:
 def _write_blocks(words: DataFrame, at: str) -> None:
     """Postings of a words table (document_id, ordinal, range, len, words) in blocks, by folders of terms."""
     each = words.select(*KEY, "range", "len", F.explode("words").alias("w"))
-    blocks = each.groupBy(F.col("w.term").alias("term"), "range").agg(F.count("*").alias("n"), F.max("w.tf").alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(F.struct(*KEY, "w.tf", "len", "w.positions"))).alias("hits"))
-    blocks.withColumn("bucket", bucket(F.col("term"))).repartitionByRange("bucket", "term", "range").sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{at}/blocks")
+    blocks = each.groupBy(F.col("w.term").alias("term"), "range").agg(F.count("*").alias("n"), F.max("w.tf").alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(F.struct(*KEY, "w.tf", "len", "w.positions"))).alias("all"))
+    # positions stand in a column of their own, which scoring doesn't read
+    apart = F.transform("all", lambda h: F.struct(*(h[c].alias(c) for c in (*KEY, "tf", "len"))))
+    blocks = blocks.select("term", "range", "n", "max_tf", "min_len", apart.alias("hits"), F.col("all.positions").alias("positions"))
+    blocks.withColumn("bucket", bucket(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("range"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "range").write.partitionBy("bucket").parquet(f"{at}/blocks")
 
 
 def _counts(words: DataFrame, sign: int) -> DataFrame:
@@ -93,7 +110,7 @@ class Index:
 
     def postings(self) -> DataFrame:
         """term, document_id, ordinal, tf, positions of all live chunks."""
-        return self._live(lambda p: self.spark.read.schema(BLOCKS).parquet(f"{p}/blocks").select("term", F.explode("hits").alias("h")).select("term", "h.*")).select("term", *KEY, "tf", "positions")
+        return self._live(lambda p: self.spark.read.schema(BLOCKS).parquet(f"{p}/blocks").select("term", F.explode(F.arrays_zip("hits", "positions")).alias("h")).select("term", "h.hits.*", "h.positions")).select("term", *KEY, "tf", "positions")
 
     def statistics(self) -> DataFrame:
         """term, df; and the number of chunks with words and of their words under the null term."""
@@ -112,9 +129,9 @@ class Index:
         part = lambda tf, size: F.col("idf") * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(size) / F.lit(mean)))
         return asked.join(stats.filter("term is not null"), "term").select(*asked.columns, idf.alias("idf")), part("tf", "len"), part("max_tf", "min_len")
 
-    def _blocks(self, asked: DataFrame) -> DataFrame:
+    def _blocks(self, asked: DataFrame, named: list[int] | None = None) -> DataFrame:
         """Blocks of the segments with their numbers, of the folders that the terms (term, bucket) fall into."""
-        named = [r.bucket for r in asked.select("bucket").distinct().collect()]  # BUCKETS at most
+        named = named if named is not None else [r.bucket for r in asked.select("bucket").distinct().collect()]  # BUCKETS at most
         return _union([self.spark.read.schema(BLOCKS).parquet(f"{s['path']}/blocks").withColumn("seg", F.lit(i)) for i, s in enumerate(self.segments)]).filter(F.col("bucket").isin(*named))
 
     def matches(self, queries: DataFrame) -> DataFrame:
@@ -128,10 +145,75 @@ class Index:
 
         only: takes rows with document_id and ordinal and gives those that count. A question's bound for a range is the sum of its terms' block bounds. The SEEDS
         ranges with the highest bounds are scored first; of the others only those are opened whose bound reaches the k-th score
-        found so far. A block that isn't opened holds no chunk of the answer; ties at the k-th score are opened.
+        found so far. A block that isn't opened holds no chunk of the answer; ties at the k-th score are opened. Questions with
+        DIRECT_HITS postings or fewer, by the stored frequencies, take the short way of adding all up.
         """
+        if self.segments:
+            asked, part, _ = self._weighed(R.query_terms(queries).withColumn("bucket", bucket(F.col("term"))), weight)
+            found = asked.join(self.statistics().select("term", "df"), "term").limit(MOST_TERMS + 1).toPandas()
+            if len(found) <= MOST_TERMS and found["df"].sum() <= DIRECT_HITS:
+                return R.top_k(self._added_up(asked, found, part, k, only), ["qid"], [F.desc("score"), *map(F.col, KEY)], k)
         return self._top_k(queries, k, weight, only)[0]
 
+    def _added_up(self, asked: DataFrame, table: pd.DataFrame, part: Column, k: int, only: Only | None) -> DataFrame:
+        """qid, document_id, ordinal, score: each task's best k chunks of every question.
+
+        Postings of the questions' terms are read once, whatever the number of questions, and meet by range; the pairs of questions and
+        chunks, of which there are many more, are added up as arrays and never become rows. table: qid, term, idf, bucket of the terms
+        that the index has, MOST_TERMS at most.
+        """
+        kind = asked.schema["qid"].dataType.simpleString()
+        if not len(table):
+            return self.spark.createDataFrame([], f"qid {kind}, document_id long, ordinal long, score double")
+        terms, codes = np.unique(table["term"].to_numpy(str), return_inverse=True)
+        qids, of = np.unique(table["qid"].to_numpy(), return_inverse=True)
+        order = np.argsort(codes, kind="stable")
+        who, idf = of[order], table["idf"].to_numpy(float)[order]
+        first = np.searchsorted(codes[order], np.arange(len(terms) + 1))
+        code_of = {t: i for i, t in enumerate(terms.tolist())}
+        wanted = self.spark.createDataFrame([(int(b), t) for b, t in dict.fromkeys(zip(table["bucket"], table["term"], strict=True))], "bucket int, term string")
+        hits = self._blocks(asked, sorted(set(map(int, table["bucket"])))).select("bucket", "term", "seg", "range", "hits").join(F.broadcast(wanted), ["bucket", "term"], "left_semi").select("term", "seg", "range", F.explode("hits").alias("h")).select("term", "seg", "range", "h.*")
+        rows = self._of(hits, only).withColumn("idf", F.lit(1.0)).select("term", "seg", "range", *KEY, part.alias("w"))
+
+        def best(q: np.ndarray, score: np.ndarray, doc: np.ndarray, ordinal: np.ndarray) -> tuple[np.ndarray, ...]:
+            by = np.lexsort((ordinal, doc, -score, q))
+            starts = np.concatenate([[True], q[by][1:] != q[by][:-1]])
+            at = np.arange(len(by))
+            by = by[at - np.maximum.accumulate(np.where(starts, at, 0)) < k]
+            return q[by], score[by], doc[by], ordinal[by]
+
+        def added(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
+            t = rows["term"].map(code_of).to_numpy(np.int64)
+            chunk = pd.MultiIndex.from_frame(rows[KEY]).factorize()[0]
+            names = rows[KEY].to_numpy()[np.unique(chunk, return_index=True)[1]]
+            n = first[t + 1] - first[t]
+            row = np.repeat(np.arange(len(rows)), n)
+            entry = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[t][row]
+            pair = who[entry] * len(names) + chunk[row]
+            by = np.argsort(pair, kind="stable")
+            cuts = np.nonzero(np.concatenate([[True], pair[by][1:] != pair[by][:-1]]))[0]
+            score = np.round(np.add.reduceat((rows["w"].to_numpy()[row] * idf[entry])[by], cuts), 6)
+            pair = pair[by][cuts]
+            return best(pair // len(names), score, names[pair % len(names), 0], names[pair % len(names), 1])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, found = None, None
+            for last, batch in flagged_last(batches):
+                rows = batch if held is None else pd.concat([held, batch])
+                if not len(rows):
+                    continue
+                # the last range may go on in the next batch
+                open_ = (rows["seg"] == rows["seg"].iloc[-1]) & (rows["range"] == rows["range"].iloc[-1]) & (not last)
+                held, rows = rows[open_], rows[~open_]
+                if len(rows):
+                    more = added(rows)
+                    found = more if found is None else best(*(np.concatenate(p) for p in zip(found, more, strict=True)))
+            if found is not None:
+                yield pd.DataFrame({"qid": qids[found[0]], "document_id": found[2], "ordinal": found[3], "score": found[1]})
+
+        dealt = rows.repartition("seg", "range").sortWithinPartitions("seg", "range")
+        return dealt.mapInPandas(run, f"qid {kind}, document_id long, ordinal long, score double")
+
     def opened(self, queries: DataFrame, k: int, weight: str = "tf", only: Only | None = None) -> DataFrame:
         """qid, blocks, opened: blocks that hold a term of the question, and how many of them top_k() opens."""
         return self._top_k(queries, k, weight, only)[1]
@@ -149,8 +231,9 @@ class Index:
 
         def scored(pairs: DataFrame) -> DataFrame:
             """Whole scores of the live chunks in the ranges of (qid, seg, range)."""
-            wanted = pairs.select("qid", "seg", "range").join(asked, "qid")
-            hits = blocks.join(wanted, ["bucket", "term", "seg", "range"]).select("qid", "idf", "seg", F.explode("hits").alias("h")).select("qid", "idf", "seg", "h.document_id", "h.ordinal", "h.tf", "h.len")
+            # a block is shuffled once, beside the questions that want it
+            wanted = pairs.select("qid", "seg", "range").join(asked, "qid").groupBy("bucket", "term", "seg", "range").agg(F.collect_list(F.struct("qid", "idf")).alias("who"))
+            hits = blocks.select("bucket", "term", "seg", "range", "hits").join(wanted, ["bucket", "term", "seg", "range"]).select("seg", "who", F.explode("hits").alias("h")).select("seg", "h.*", F.explode("who").alias("w")).select("w.*", "seg", *KEY, "tf", "len")
             sums = hits.groupBy("qid", "seg", *KEY).agg(F.round(F.sum(part), 6).alias("score"))
             return self._of(sums, only).drop("seg")
 
