@@ -50,13 +50,6 @@ def test_only_one_function_joins_chunks_to_ready_documents():
     assert holders == ["retrievable"]
 
 
-def test_approximate_neighbours_reach_a_recall_of_nine_tenths(spark):
-    import __spark_entry__ as entry
-
-    rows = entry.queries()["ix8"](spark, "/root/testdata/sf0.01").collect()
-    assert sum(r["rank"] is not None for r in rows) / len(rows) >= 0.9
-
-
 def test_a_decision_comes_a_threshold_after_the_last_voice(spark):
     frames = [(1, i, 0.9 if 5 <= i < 20 else 0.0, False) for i in range(60)]
     got = {r.kind: r for r in T.speech_events(spark.createDataFrame(frames, "stream_id long, frame_no long, prob double, agent_speaking boolean")).collect()}

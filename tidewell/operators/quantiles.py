@@ -22,7 +22,7 @@ MOST_VALUES, GRID, FINENESS = 4_096, 200, 10
 def _targets(counts: DataFrame, ps: list[float]) -> DataFrame:
     """A row for each group, percentile and neighbouring rank (lo, hi) that interpolation needs."""
     each = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(float(p)).alias("p")) for j, p in enumerate(ps)))
-    rows = counts.withColumn("t", F.explode(each)).withColumn("at", F.col("t.p") * (F.col("n") - 1))
+    rows = counts.withColumn("t", F.explode(each)).withColumn("j", F.col("t.j")).withColumn("at", F.col("t.p") * (F.col("n") - 1))
     return rows.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("k", F.when(F.col("side") == 0, F.floor("at")).otherwise(F.ceil("at")).cast("long"))
 
 

@@ -11,6 +11,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.operators import ann as A
 from tidewell.operators import evaluation as E
 from tidewell.operators import index as I
 from tidewell.operators import retrieval as R
@@ -183,9 +184,48 @@ def ix7(spark, d) -> DataFrame:
     return R.dense_top_k(given_questions(spark, d), vectors(spark, d), 10, ["vec_id"])
 
 
+#: Folders of the approximate indexes that this process wrote, by that of the index of the same chunks.
+NEAR: dict[str, str] = {}
+
+
+def chunk_vectors(spark, d) -> DataFrame:
+    return chunks(spark, d).select(*KEY, R.normalised(R.doubles(F.col("embedding"))).alias("vec")).filter("vec is not null")
+
+
+def stored_near(spark, d) -> str:
+    """The approximate index of all chunks' vectors, written once a session."""
+    root = stored(spark, d).root
+    if root not in NEAR:
+        at = folder(spark)
+        A.build(chunk_vectors(spark, d), KEY, at)
+        NEAR[root] = at
+    return NEAR[root]
+
+
 @query("ix8")
 def ix8(spark, d) -> DataFrame:
-    """Approximate neighbours beside their exact rank, from which recall follows."""
+    """The ten nearest chunks of every question by the stored approximate index, beside their exact rank, from which recall follows."""
+    q = questions(spark, d).select("qid", "qvec")
+    exact = R.dense_top_k(q, chunk_vectors(spark, d), 10, KEY).select("qid", *KEY, F.col("rank").alias("exact_rank"))
+    return exact.join(ix8_search(spark, d).select("qid", *KEY, "rank"), ["qid", *KEY], "left")
+
+
+@query("ix8_search")
+def ix8_search(spark, d) -> DataFrame:
+    """The approximate answer alone."""
+    return A.search(questions(spark, d).select("qid", "qvec"), stored_near(spark, d), KEY, 10)[0]
+
+
+@query("ix8_scanned")
+def ix8_scanned(spark, d) -> DataFrame:
+    """How many of all chunks' codes each question met."""
+    met = A.search(questions(spark, d).select("qid", "qvec"), stored_near(spark, d), KEY, 10)[1]
+    return met.crossJoin(chunk_vectors(spark, d).agg(F.count("*").alias("chunks")))  # one row
+
+
+@query("ix8_uniform")
+def ix8_uniform(spark, d) -> DataFrame:
+    """The given vectors, which hardly form lists: two thirds of them are compared for a recall of nine tenths."""
     q, v = given_questions(spark, d), vectors(spark, d)
     exact = R.dense_top_k(q, v, 10, ["vec_id"]).select("qid", "vec_id", F.col("rank").alias("exact_rank"))
     return exact.join(R.bucketed_top_k(q, v, 10, ["vec_id"]).select("qid", "vec_id", "rank"), ["qid", "vec_id"], "left")
