@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Values of a group that one task may hold, steps of the grid, rank error of the sketch as a part of a step.
-MOST_VALUES, GRID, FINENESS = 4_096, 200, 10
+MOST_VALUES, GRID, FINENESS = 200_000, 200, 10
 
 
 def _targets(counts: DataFrame, ps: list[float]) -> DataFrame:
