@@ -283,26 +283,77 @@ def test_a_wrong_dictionary_is_noticed(spark, edge, tmp_path):
 PASSAGE = "Este pasaje se repite en muchos documentos y tiene bastantes palabras para que no sea casualidad alguna."
 
 
-def lost_by_brute_force(texts):
-    """Raw positions of the lines that each text loses to those before it: every run of lines against every earlier text."""
+def shortest_runs(lines):
+    """Every run of lines with enough words that has too few without its first line, or without its last."""
+    least, found = line_dedup.MIN_WORDS, []
+    for i in range(len(lines)):
+        for j in range(i + 1, len(lines) + 1):
+            n = [len(w) for _, w in lines[i:j]]
+            if sum(n) >= least and (sum(n[1:]) < least or sum(n[:-1]) < least):
+                found.append((i, j - i, tuple(" ".join(w) for _, w in lines[i:j])))
+    return found
+
+
+def longest_rising(v):
+    """Places of a longest rising run of different numbers; of several, the one with the least numbers from its end on."""
+    size, prev = [], []
+    for i, x in enumerate(v):
+        size.append(1 + max((size[j] for j in range(i) if v[j] < x), default=0))
+        prev.append(min((j for j in range(i) if size[j] == size[i] - 1 and v[j] < x), key=lambda j: v[j], default=None))
+    i = min((i for i in range(len(v)) if size[i] == max(size)), key=lambda i: v[i], default=None)
+    out = []
+    while i is not None:
+        out.append(i)
+        i = prev[i]
+    return out[::-1]
+
+
+def patience_by_brute_force(a, b, i=0, j=0):
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(i, j), *patience_by_brute_force(a[1:], b[1:], i + 1, j + 1)]
+    if a[-1] == b[-1]:
+        return [*patience_by_brute_force(a[:-1], b[:-1], i, j), (i + len(a) - 1, j + len(b) - 1)]
+    once = [x for x in a if a.count(x) == 1 and b.count(x) == 1]
+    kept = [once[k] for k in longest_rising([b.index(x) for x in once])]
+    out, p, q = [], 0, 0
+    for x in kept:
+        p_x, q_x = a.index(x), b.index(x)
+        out += [*patience_by_brute_force(a[p:p_x], b[q:q_x], i + p, j + q), (i + p_x, j + q_x)]
+        p, q = p_x + 1, q_x + 1
+    return out + (patience_by_brute_force(a[p:], b[q:], i + p, j + q) if kept else [])
+
+
+def lost_by_alignment(texts):
+    """Raw positions of the lines that each text loses, by an alignment with every earlier text."""
     lines = [[(p, x.split()) for p, x in enumerate((t or "").split("\n")) if x.split()] for t in texts]
-    runs, out = [], []
-    for ls in lines:
-        own, gone = set(), set()
-        for i in range(len(ls)):
-            for j in range(i + 1, min(len(ls), i + 8) + 1):
-                if sum(len(w) for _, w in ls[i:j]) >= line_dedup.MIN_WORDS:
-                    key = tuple(" ".join(w) for _, w in ls[i:j])
-                    own.add(key)
-                    if any(key in r for r in runs):
-                        gone |= {p for p, _ in ls[i:j]}
-        runs.append(own)
-        out.append(gone)
+    runs, out = [sorted(shortest_runs(ls)) for ls in lines], []
+    for d, ls in enumerate(lines):
+        gone = set()
+        for e in range(d):
+            both = {x[2] for x in runs[d]} & {x[2] for x in runs[e]}
+            a, b = ([x for x in runs[k] if x[2] in both] for k in (d, e))
+            pairs = patience_by_brute_force([x[2] for x in a], [x[2] for x in b])
+            own = {k for i, _ in pairs for k in range(a[i][0], a[i][0] + a[i][1])}
+            left, offset = [], None
+            for i, (at, n, x) in enumerate(a):
+                if i in {i for i, _ in pairs} or set(range(at, at + n)) <= own:
+                    continue
+                places = [y[0] for y in b if y[2] == x]
+                e_at = at - offset if offset is not None and at - offset in places else places[0]
+                if left and offset == at - e_at and at <= max(left[-1]) + 1:
+                    left[-1] |= set(range(at, at + n))
+                else:
+                    left.append(set(range(at, at + n)))
+                offset = at - e_at
+            gone |= own.union(*(x for x in left if sum(len(ls[k][1]) for k in x) >= line_dedup.MOVED_WORDS))
+        out.append({ls[k][0] for k in gone})
     return out
 
 
 def deduplicated(texts):
-    return [None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone) for t, gone in zip(texts, lost_by_brute_force(texts), strict=True)]
+    return [None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone) for t, gone in zip(texts, lost_by_alignment(texts), strict=True)]
 
 
 def test_line_dedup_deletes_from_later_documents(spark, folder):
@@ -321,10 +372,10 @@ def test_line_dedup_finds_blocks_whose_lines_have_other_first_holders(spark, fol
     assert got == {1: first, 2: second, 3: ""}
 
 
-@pytest.mark.parametrize("frequent", [4, 10_000])
-def test_line_dedup_against_brute_force(spark, folder, monkeypatch, frequent):
+def test_line_dedup_against_brute_force(spark, folder, monkeypatch):
     """Random texts of few lines, moved and repeated blocks, copies, blank lines, a line that half of the texts hold."""
-    monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
+    monkeypatch.setattr(line_dedup, "FREQUENT", 10_000)
+    monkeypatch.setattr(line_dedup, "NEAREST", 10_000)  # every holder is paired
     rng = random.Random(11)
     stock = [" ".join(rng.choices("ab cd ef gh ij".split(), k=rng.choice((1, 1, 2, 3, 6, 9)))) for _ in range(40)] + ["", "  "]
     texts = ["\n".join(rng.choices(stock, k=rng.randint(0, 14))) for _ in range(150)]
@@ -333,16 +384,41 @@ def test_line_dedup_against_brute_force(spark, folder, monkeypatch, frequent):
     assert got == dict(enumerate(deduplicated(texts)))
 
 
+@pytest.mark.parametrize(("rows", "moved"), [(line_dedup.BROADCAST_ROWS, 15), (0, 15), (0, 10_000)])
+def test_line_dedup_of_frequent_passages(spark, folder, monkeypatch, rows, moved):
+    """A passage of many holders goes from all but the first, whether or not the frequent ones are broadcast."""
+    monkeypatch.setattr(line_dedup, "FREQUENT", 4)
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(line_dedup, "MOVED_WORDS", moved)
+    got = {r.doc_id: r for r in Q["op7_patience_alignment"](spark, folder([extra(i, f"propio {i}\n{PASSAGE}\nfin {i}") for i in range(300)])).collect()}
+    assert got[0].lines_removed == 0
+    assert all(got[i].text == f"propio {i}\nfin {i}" and got[i].earlier_ids == [0] for i in range(1, 300))
+
+
+def test_line_dedup_is_an_alignment_and_no_hash_rule(spark, folder):
+    """Two short lines in another order: one is aligned, the other stays; a moved passage of many words goes."""
+    one, two = "la primera línea tiene seis palabras", "la segunda también tiene seis palabras"
+    rows = [extra(1, f"{one}\nnada\n{two}"), extra(2, f"{two}\notra cosa\n{one}"), extra(3, f"{PASSAGE}\n{one}"), extra(4, f"{one}\nalgo\n{PASSAGE}")]
+    got = {r.doc_id: r.text for r in Q["op7_patience_alignment"](spark, folder(rows)).collect()}
+    assert got[2] in (f"{two}\notra cosa", f"otra cosa\n{one}")
+    assert got[3] == PASSAGE and got[4] == "algo"
+
+
 def test_line_dedup_of_many_lines(spark, folder):
     lines = [f"línea número {i} de un texto muy largo" for i in range(100_000)]
     rows = [extra(1, "\n".join(lines)), extra(2, "\n".join(lines[50_000:] + ["algo nuevo"] + lines[:50_000])), extra(3, "\n".join(lines[:300][::-1]))]
     got = {r.doc_id: r for r in Q["op7_patience_alignment"](spark, folder(rows)).collect()}
-    assert got[1].lines_removed == 0 and got[2].text == "algo nuevo" and got[3].text == ""
+    assert got[1].lines_removed == 0 and got[2].text == "algo nuevo"
+    assert got[3].lines_removed == 1  # in falling order one line is aligned, and none of the moved ones is long enough
 
 
 def test_patience_alignment():
     assert line_dedup.increasing([3, 1, 2, 5, 4]) == [1, 2, 4]
-    assert list(line_dedup.alignment([(0, 4, 1), (1, 5, 1), (2, 0, 2), (3, 1, 1), (4, 2, 1)])) == [(2, 0, 3), (0, 4, 2)]
+    assert line_dedup.patience([1, 2, 3, 4], [3, 1, 2, 4]) == [(0, 1), (1, 2), (3, 3)]
+    rng = random.Random(5)
+    for _ in range(2_000):
+        a, b = (rng.choices(range(12), k=rng.randint(0, 12)) for _ in "ab")
+        assert line_dedup.patience(a, b) == patience_by_brute_force(a, b)
 
 
 def test_rule_statistics(spark, edge):

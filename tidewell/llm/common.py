@@ -55,20 +55,24 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     return spark.table(label)
 
 
-#: Rows of whole texts that one Arrow batch takes to a Python worker, where their number would fill its memory.
-TEXT_ROWS = 1_000
+#: Rows and bytes of whole texts that one Arrow batch takes to a Python worker, where its usual number of rows would fill the memory.
+TEXT_ROWS, TEXT_BYTES = 1_000, 16 << 20
 
 
 @contextmanager
-def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> Iterator[None]:
-    """Actions inside send at most so many rows in an Arrow batch, or as many as the session says if those are fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS, size: int = TEXT_BYTES) -> Iterator[None]:
+    """Actions inside send at most so many rows in an Arrow batch, which ends with the row that reaches so many bytes; less if the
+    session says so."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {key: spark.conf.get(key, None) for key in limits}
+    for key, most in limits.items():
+        had = before[key] or ""
+        spark.conf.set(key, str(min(most, int(had)) if had.isdigit() and int(had) > 0 else most))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, had in before.items():
+            spark.conf.unset(key) if had is None else spark.conf.set(key, had)
 
 
 #: Rows of one range of neighbouring ids, and the most ranges.
