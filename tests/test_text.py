@@ -84,3 +84,15 @@ def test_layout(spark):
     assert layout.markdown_table(cells).first().markdown == "| a | b |\n| --- | --- |\n| c |  |"
     heads = rows(spark, [(1, 0, 1, "Guía de"), (1, 1, 1, "alta"), (1, 2, None, "texto"), (1, 3, 2, "x" * 111)], "document_id long, line_no int, level int, text string")
     assert [(r.line_no, r.level, r.text) for r in layout.merged_headings(heads).orderBy("line_no").collect()] == [(0, 1, "Guía de alta"), (2, None, "texto"), (3, None, "x" * 111)]
+
+
+def test_heading_accuracy_aligns_titles_in_order(spark):
+    kind = "document_id long, pos long, title string, level long"
+    expected = [(1, 1, "Ficha – Uno", 1), (1, 2, "Dos", 2), (1, 3, "Tres", 2), (1, 4, "Dos", 3), (1, 5, "Cinco", 2), (2, 1, "Solo", 1)]
+    extracted = [(1, 10, "ﬁcha - uno", 2), (1, 20, "  TRES ", 3), (1, 30, "dos", 3), (1, 40, "dos", 5), (3, 1, "Solo", 1)]
+    got = T.heading_accuracy(spark.createDataFrame(extracted, kind), spark.createDataFrame(expected, kind))
+    rows = {(r.document_id, r.pos): (r.found, r.in_order, r.level_ok) for r in got.collect()}
+    # titles by place: 10, 30, 20, 40; two longest runs of three, of which the one with the lesser ends is kept
+    assert rows == {(1, 1): (True, True, True), (1, 2): (True, False, True), (1, 3): (True, True, True), (1, 4): (True, True, False), (1, 5): (False, False, False), (2, 1): (False, False, False)}
+    empty = T.heading_accuracy(spark.createDataFrame([], kind), spark.createDataFrame(expected, kind))
+    assert empty.filter("found or in_order or level_ok").count() == 0 and empty.count() == 6

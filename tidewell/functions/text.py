@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,18 +20,19 @@ ABBREVIATIONS = ("dr", "dra", "sr", "sra", "srta", "ud", "uds", "av", "etc", "pr
 SHORTEST_PIECE = 12
 
 
-def normalised(text: Column) -> Column:
-    """Compatibility composition (NFKC), LF line ends, no control or zero-width characters.
-
-    Spark has no NFKC: rows of plain ASCII never reach the Arrow UDF.
-    """
+def nfkc(text: Column) -> Column:
+    """Compatibility composition. Spark has none: rows of plain ASCII never reach the Arrow UDF."""
 
     @F.pandas_udf("string")
-    def nfkc(texts: pd.Series) -> pd.Series:
+    def composed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
-    wide = F.when(F.rlike(text, F.lit(r"[^\x09\x0A\x0D\x20-\x7E]")), nfkc(text)).otherwise(text)
-    return F.regexp_replace(F.regexp_replace(wide, r"\r\n?", "\n"), DROPPED, "")
+    return F.when(F.rlike(text, F.lit(r"[^\x09\x0A\x0D\x20-\x7E]")), composed(text)).otherwise(text)
+
+
+def normalised(text: Column) -> Column:
+    """Compatibility composition (NFKC), LF line ends, no control or zero-width characters."""
+    return F.regexp_replace(F.regexp_replace(nfkc(text), r"\r\n?", "\n"), DROPPED, "")
 
 
 def text_layer_reason(text: Column, pages: Column, plain: Column) -> Column:
@@ -183,12 +185,47 @@ def spoken_sentences(text: Column) -> Column:
 
 
 def canonical_title(title: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(title, "[‐-―]", "-")), r"\s+", " "))
+    """NFKC, one kind of dash, lower case, single spaces."""
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(nfkc(title), "[‐-―−]", "-")), r"\s+", " "))
 
 
 def heading_accuracy(extracted: DataFrame, expected: DataFrame) -> DataFrame:
-    """found and level_ok for each expected heading (document_id, title, level); levels are compared from each side's top."""
-    top = lambda df: df.withColumn("title", canonical_title(F.col("title"))).withColumn("depth", F.col("level") - F.min("level").over(Window.partitionBy("document_id")))
-    a = top(extracted).groupBy("document_id", "title").agg(F.min("depth").alias("got"))
-    b = top(expected).select("document_id", "title", F.col("depth").alias("want"))
-    return b.join(a, ["document_id", "title"], "left").select("document_id", "title", F.col("got").isNotNull().alias("found"), F.coalesce(F.col("got") == F.col("want"), F.lit(False)).alias("level_ok"))
+    """found, in_order and level_ok of each expected heading (document_id, pos, title, level) by the extracted ones (the same columns).
+
+    Levels are compared from each side's top, of equal titles the first ones. in_order: the heading is on a longest run of
+    found titles that stand in the same order on both sides, by patience sorting of each document's headings.
+    """
+    by_document = Window.partitionBy("document_id")
+
+    def side(df: DataFrame, depth: str, place: str) -> DataFrame:
+        keyed = df.select("document_id", canonical_title(F.col("title")).alias("title"), (F.col("level") - F.min("level").over(by_document)).alias(depth), F.col("pos").alias(place))
+        return keyed.withColumn("nth", F.row_number().over(Window.partitionBy("document_id", "title").orderBy(place)))
+
+    got, want = side(extracted, "got", "got_at"), side(expected, "want", "pos")
+    first = got.filter("nth = 1").drop("nth")
+    joined = want.join(got, ["document_id", "title", "nth"], "left").join(first.select("document_id", "title", F.col("got").alias("first")), ["document_id", "title"], "left")
+
+    @F.pandas_udf("array<long>")
+    def ordered(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda found: [found[k]["pos"] for k in _rising([x["got_at"] for x in found])])
+
+    listed = joined.filter("got_at is not null").groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), F.col("got_at").cast("long").alias("got_at")))).alias("found"))
+    runs = listed.select("document_id", F.explode(ordered("found")).alias("pos"), F.lit(True).alias("kept"))
+    out = joined.withColumn("pos", F.col("pos").cast("long")).join(runs, ["document_id", "pos"], "left")
+    level_ok = F.coalesce(F.coalesce(F.col("got"), F.col("first")) == F.col("want"), F.lit(False))
+    return out.select("document_id", "pos", "title", F.col("first").isNotNull().alias("found"), F.coalesce("kept", F.lit(False)).alias("in_order"), level_ok.alias("level_ok"))
+
+
+def _rising(values: list[int]) -> list[int]:
+    """Places of a longest rising run."""
+    ends: list[int] = []  # the place of the least value that ends a run of each length
+    before = []
+    for i, v in enumerate(values):
+        k = bisect_left(ends, v, key=values.__getitem__)
+        before.append(ends[k - 1] if k else -1)
+        ends[k : k + 1] = [i]
+    run, i = [], ends[-1] if ends else -1
+    while i >= 0:
+        run.append(i)
+        i = before[i]
+    return run[::-1]

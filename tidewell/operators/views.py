@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,11 +137,65 @@ def upload_decisions(batch: DataFrame, catalog: DataFrame) -> DataFrame:
     return out.select("upload_id", "decision", F.when(F.col("decision") == "new_version", F.col("supersedes_id")).alias("supersedes_id"))
 
 
+#: Aliases that every task holds as one automaton at most; more meet the pieces of names in a join.
+MOST_ALIASES = 200_000
+
+
+def first_alias(name: Column, aliases: list[tuple[str, str, int]]) -> Column:
+    """Tag of the alias (alias, tag, priority) of least priority that the name contains, then of least tag; null without one.
+
+    All aliases are one automaton, built once a task, which reads each different name of a batch once.
+    """
+    shared = SparkContext.getOrCreate().broadcast(aliases)
+
+    @F.pandas_udf("string")
+    def tags(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        best: dict[str, tuple[int, str]] = {}
+        for alias, tag, priority in shared.value:
+            best[alias] = min(best.get(alias, (priority, tag)), (priority, tag))
+        everywhere = [best.pop("")] if "" in best else []
+        automaton = ahocorasick.Automaton()
+        for alias, value in best.items():
+            automaton.add_word(alias, value)
+        automaton.make_automaton()
+
+        def tag(text: str) -> str | None:
+            found = automaton.iter(text) if best and text else ()
+            return min([v for _, v in found] + everywhere, default=(0, None))[1]
+
+        for names in batches:
+            known = {n: tag(n) for n in names.dropna().unique()}
+            yield names.map(known).astype(object).where(names.notna(), None)
+
+    return tags(name)
+
+
+def alias_matches(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """name, by_alias of distinct names (name) for any number of aliases: pieces of names as long as some alias are joined to them."""
+    longest = names.agg(F.max(F.length("name"))).first()[0] or 0
+    sizes = [r.n for r in aliases.select(F.length("alias").alias("n")).filter(F.col("n") <= longest).distinct().collect()]
+    if not sizes:
+        return names.limit(0).select("name", F.lit(None).cast("string").alias("by_alias"))
+    fitting = F.filter(F.array(*map(F.lit, sizes)), lambda n: n <= F.length("name"))
+    pieces = F.flatten(F.transform(fitting, lambda n: F.transform(F.sequence(F.lit(1), F.length("name") - n + 1), lambda i: F.substring(F.col("name"), i, n))))
+    found = names.select("name", F.explode(F.array_distinct(pieces)).alias("alias")).join(aliases, "alias")
+    return found.groupBy("name").agg(F.min(F.struct("priority", "alias_tag"))["alias_tag"].alias("by_alias"))
+
+
 def resolve_protocol(calls: DataFrame, aliases: DataFrame, tags: list[str]) -> DataFrame:
-    """protocol: a known tag, else that of the first alias that the procedure contains, else the raw tag."""
-    hit = calls.join(F.broadcast(aliases), F.lower("procedure_name").contains(F.col("alias")), "left")
-    found = hit.groupBy("id", "procedure_name", "tag").agg(F.min_by("alias_tag", "priority").alias("by_alias"))
-    return found.select("id", F.when(F.col("tag").isin(*tags), F.col("tag")).otherwise(F.coalesce("by_alias", "tag")).alias("protocol"))
+    """protocol: a known tag, else that of the first alias that the procedure contains, else the raw tag.
+
+    Aliases or priorities that are null match nothing, an empty alias is in every name but a null one.
+    """
+    usable = aliases.filter("alias is not null and alias_tag is not null and priority is not null").select("alias", "alias_tag", "priority")
+    known = F.col("tag").isin(*tags)
+    if usable.count() <= MOST_ALIASES:
+        name = F.when(~F.coalesce(known, F.lit(False)), F.lower("procedure_name"))
+        found = calls.select("id", "tag", first_alias(name, [tuple(r) for r in usable.collect()]).alias("by_alias"))
+    else:
+        named = calls.select("id", "tag", F.lower("procedure_name").alias("name"))
+        found = named.join(alias_matches(named.select("name").filter("name is not null").distinct(), usable), "name", "left")
+    return found.select("id", F.when(known, F.col("tag")).otherwise(F.coalesce("by_alias", "tag")).alias("protocol"))
 
 
 def survey_answers(answers: DataFrame) -> DataFrame:

@@ -91,13 +91,13 @@ def sc7(spark, d) -> DataFrame:
     return c.filter("c.id is not null and c.id != ''").select("c.*", "turnos")
 
 
-@query("sc8", "SELECT event_id AS id, user_id AS page, CAST(floor(value) AS BIGINT) AS llm FROM events")
+@query("sc8", "SELECT event_id AS id, user_id AS page, CAST(floor(value) AS BIGINT) AS llm, event_type AS animo, CAST(1 + event_id % 2 AS BIGINT) AS answers FROM events")
 def sc8(spark, d) -> DataFrame:
-    """Citations and latencies to JSON and back."""
+    """Citations, latencies and survey answers to JSON and back."""
     e = S.read(spark, d, "events")
-    rows = e.select(F.col("event_id").alias("id"), F.array(F.struct(F.lit("a.pdf").alias("filename"), F.lit("h").alias("heading"), F.col("user_id").cast("int").alias("page"))).alias("citations"), F.create_map(F.lit("llm"), F.floor("value")).alias("latencies"))
+    rows = e.select(F.col("event_id").alias("id"), F.array(F.struct(F.lit("a.pdf").alias("filename"), F.lit("h").alias("heading"), F.col("user_id").cast("int").alias("page"))).alias("citations"), F.create_map(F.lit("llm"), F.floor("value")).alias("latencies"), F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("animo"), F.col("event_type"))).otherwise(F.create_map(F.lit("animo"), F.col("event_type"), F.lit("dolor"), F.lit("\"7\"\n"))).alias("survey"))
     back = L.decode_columns(L.encode_columns(rows))
-    return back.select("id", F.get("citations", 0)["page"].cast("long").alias("page"), back.latencies["llm"].alias("llm"))
+    return back.select("id", F.get("citations", 0)["page"].cast("long").alias("page"), back.latencies["llm"].alias("llm"), back.survey["animo"].alias("animo"), F.size("survey").cast("long").alias("answers"))
 
 
 @query("sc9", "SELECT event_type AS metric, count(*) AS n FROM events GROUP BY 1")

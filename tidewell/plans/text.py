@@ -121,12 +121,31 @@ def tx14(spark, d) -> DataFrame:
     return S.turns(spark, d).filter("role = 'agent'").select("id", F.posexplode(T.spoken_sentences(F.regexp_replace("content", r"\s+", " "))).alias("nth", "sentence"))
 
 
-@query("tx15", f"WITH {PARAGRAPHS}, x AS (SELECT document_id, CASE WHEN i = 1 THEN lang ELSE 'part ' || (i - 2) END AS title, i FROM paragraphs) SELECT document_id, count(*) AS expected, count(*) FILTER (i <= 3) AS found FROM x WHERE i > 1 GROUP BY 1")
+#: Lines of each document as a page sets them: its number in the size of a heading before each paragraph but the first, and in
+#: that of the body before each fifth, where the layout hides it; numbers of 7 more than a multiple of 10 are set after the next.
+SET_LINES = """set_lines AS (SELECT document_id, 2 * i AS line_no, p AS text, 10.0 AS size FROM paragraphs UNION ALL
+SELECT document_id, CASE WHEN i % 10 = 7 THEN 2 * i + 3 ELSE 2 * i - 1 END, 'ﬁle – Part ' || i, CASE WHEN i % 5 = 4 THEN 10.0 WHEN i % 3 = 0 THEN 16.0 ELSE 13.0 END FROM paragraphs WHERE i > 1)"""
+EXPECTED_TITLE = "'file - part ' || i"
+
+
+@query("tx15", f"""WITH {PARAGRAPHS}, {SET_LINES},
+sizes AS (SELECT document_id, size, sum(length(trim(text))) AS n FROM set_lines GROUP BY 1, 2), body AS (SELECT document_id, arg_max(size, n * 1000 - size) AS body FROM sizes GROUP BY 1),
+levels AS (SELECT s.document_id, s.size, dense_rank() OVER (PARTITION BY s.document_id ORDER BY s.size DESC) AS level FROM sizes s JOIN body b ON b.document_id = s.document_id AND s.size >= b.body + 0.6),
+marked AS (SELECT l.document_id, line_no, text, CASE WHEN length(text) <= 110 THEN level END AS level FROM set_lines l LEFT JOIN levels v ON v.document_id = l.document_id AND v.size = l.size),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY document_id ORDER BY line_no) AS island FROM (SELECT *, CASE WHEN level IS NULL OR lag(level) OVER w IS NULL OR level <> lag(level) OVER w THEN 1 ELSE 0 END AS fresh FROM marked WINDOW w AS (PARTITION BY document_id ORDER BY line_no))),
+merged AS (SELECT document_id, any_value(level) AS level, string_agg(trim(text), ' ' ORDER BY line_no) AS text FROM islands GROUP BY document_id, island HAVING any_value(level) IS NOT NULL),
+got AS (SELECT document_id, replace(replace(lower(text), 'ﬁ', 'fi'), '–', '-') AS title, level - min(level) OVER (PARTITION BY document_id) AS depth FROM merged),
+want AS (SELECT document_id, {EXPECTED_TITLE} AS title, lvl - min(lvl) OVER (PARTITION BY document_id) AS depth FROM (SELECT document_id, i, CASE WHEN i % 3 = 0 THEN 1 ELSE 2 END AS lvl FROM paragraphs WHERE i > 1))
+SELECT w.document_id, count(*) AS expected, count(g.title) AS found, count(*) FILTER (g.depth = w.depth) AS level_ok FROM want w LEFT JOIN got g USING (document_id, title) GROUP BY 1""")
 def tx15(spark, d) -> DataFrame:
-    """Expected headings of every paragraph against those of each document's first ones."""
-    docs = markdown(spark, d)
-    lines = docs.select("document_id", F.posexplode(F.split("markdown", "\n")).alias("pos", "line")).filter(F.rlike("line", F.lit(T.HEADING)))
-    heads = lines.select("document_id", F.regexp_replace("line", r"^#+\s+", "").alias("title"), F.length(F.regexp_extract("line", "^(#+)", 1)).alias("level"))
-    part = F.regexp_extract("title", r"^part (\d+)$", 1)
-    extracted = heads.filter((part == "") | (part.try_cast("int") <= 1))
-    return T.heading_accuracy(extracted, heads).filter(F.col("title").startswith("part ")).groupBy("document_id").agg(F.count("*").alias("expected"), F.count_if("found").alias("found"))
+    """Headings that the layout gives (body size, levels, lines merged) against the expected one of every paragraph but the first."""
+    i, size = F.col("i"), F.lit(10.0)
+    paragraphs = S.lines(spark, d).select("document_id", (F.col("line_no") + 1).alias("i"), F.col("content").alias("text"))
+    later = paragraphs.filter(i > 1)
+    heads = later.select("document_id", F.when(i % 10 == 7, 2 * i + 3).otherwise(2 * i - 1).alias("line_no"), F.concat(F.lit("ﬁle – Part "), i.cast("string")).alias("text"), F.when(i % 5 == 4, size).when(i % 3 == 0, 16.0).otherwise(13.0).alias("font_size"))
+    spans = paragraphs.select("document_id", (2 * i).alias("line_no"), "text", size.alias("font_size")).unionByName(heads)
+    levels = layout.heading_levels(spans)
+    marked = spans.join(levels.withColumnRenamed("size", "font_size"), ["document_id", "font_size"], "left")
+    extracted = layout.merged_headings(marked.select("document_id", "line_no", "level", "text")).filter("level is not null").select("document_id", F.col("line_no").alias("pos"), F.col("text").alias("title"), "level")
+    expected = later.select("document_id", i.alias("pos"), F.concat(F.lit("file - part "), i.cast("string")).alias("title"), F.when(i % 3 == 0, 1).otherwise(2).cast("long").alias("level"))
+    return T.heading_accuracy(extracted, expected).groupBy("document_id").agg(F.count("*").alias("expected"), F.count_if("found").alias("found"), F.count_if("level_ok").alias("level_ok"))

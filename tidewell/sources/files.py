@@ -92,7 +92,7 @@ def lenient_turns(body: Column) -> Column:
 
 def encode_columns(turns: DataFrame) -> DataFrame:
     """citations, latencies and survey as JSON text."""
-    return turns.withColumns({c: F.to_json(c) for c in ("citations", "latencies") if c in turns.columns})
+    return turns.withColumns({c: F.to_json(c) for c in ("citations", "latencies", "survey") if c in turns.columns})
 
 
 def decode_columns(turns: DataFrame) -> DataFrame:
