@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import numbered, written
+from tidewell.llm.common import numbered, text_batches, written
 from tidewell.llm.graph import components
 
 #: Words of a shingle, Jaccard similarity of near copies as a fraction, the hash's seed.
@@ -231,7 +231,8 @@ def checked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for p in batches:
             yield pd.DataFrame({"a": p["a"], "b": p["b"], "holds": [similar(x, y) for x, y in zip(p["text_a"], p["text_b"], strict=True)]})
 
-    return written(both.select("a", "b", "text_a", "text_b").mapInPandas(of, "a long, b long, holds boolean"), "checked")
+    with text_batches(texts.sparkSession):
+        return written(both.select("a", "b", "text_a", "text_b").mapInPandas(of, "a long, b long, holds boolean"), "checked")
 
 
 def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -266,7 +267,8 @@ def groups_of(nodes: DataFrame, keys: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """row, component of each row of docs (row, text)."""
-    prints = written(with_prints(docs), "prints")
+    with text_batches(docs.sparkSession):
+        prints = written(with_prints(docs), "prints")
     sets = prints.groupBy("size", "h1", "h2").agg(F.min("row").alias("node"))
     nodes = written(prints.drop("keys").join(sets.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"), "sets")
     keys = prints.join(nodes.select(F.col("node").alias("row")), "row", "left_semi").select(F.explode("keys").alias("h"), F.col("row").alias("node"), "size")
