@@ -1,7 +1,7 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of characters.
 
 The model is of order ORDER over the characters of trusted documents (quality 1), four in five of them by hash; the fifth
-that it doesn't learn from sets the thresholds: a document is rejected when its perplexity is above the QUANTILE of its
+that it doesn't learn from sets the thresholds: a document is rejected when its perplexity is above MARGIN times the QUANTILE of its
 language there. A language without such documents takes the quantile of all.
 
 Work is dealt by blocks: the first PIECE characters of 2**BLOCK_BITS neighbouring rows of an input file are one, which every scan of
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import bucketed, numbered, table, text_batches, written
 
 ORDER = 5
-#: One trusted document in so many only calibrates; the quantile of their perplexities beyond which a document is rejected (the
-#: greatest one, where a language has under 500 of them), and the documents from which a language has a quantile of its own.
-HELD_OUT, QUANTILE, SUPPORT = 5, 0.998, 20
+#: One trusted document in so many only calibrates; the quantile of perplexities there, how far beyond it rejection begins, and the
+#: documents from which a language has a quantile of its own.
+HELD_OUT, QUANTILE, MARGIN, SUPPORT = 5, 0.99, 1.3, 20
 #: Rows of a block as a power of two, characters of a piece, characters handled at once, trusted ids that are broadcast at most.
 BLOCK_BITS, PIECE, SLICE, BROADCAST_ROWS = 13, 1 << 16, 1 << 19, 2_000_000
 START, END = "\x02", "\x03"
@@ -240,7 +240,7 @@ def judged(rows: DataFrame, labels: DataFrame) -> DataFrame:
     overall = calibration.agg(quantile).first().q
     overall = found.filter("trusted = 1").agg(quantile).first().q if overall is None else overall
     found = found.join(by_lang, F.col("lang").eqNullSafe(F.col("own")), "left")
-    found = found.withColumn("threshold", F.coalesce("q", F.lit(overall).cast("double")))
+    found = found.withColumn("threshold", MARGIN * F.coalesce("q", F.lit(overall).cast("double")))
     return found.select("row", "lang", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
 
 
