@@ -384,6 +384,23 @@ def test_line_dedup_against_brute_force(spark, folder, monkeypatch):
     assert got == dict(enumerate(deduplicated(texts)))
 
 
+@pytest.mark.parametrize(("frequent", "rows"), [(2, line_dedup.BROADCAST_ROWS), (6, 0)])
+def test_line_dedup_leaves_out_no_partner(spark, folder, monkeypatch, frequent, rows):
+    """The same as an alignment with every earlier text, however few holders are met at first."""
+    monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
+    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(line_dedup, "NEAREST", 1)
+    rng = random.Random(12)
+    stock = [" ".join(rng.choices("ab cd ef gh ij".split(), k=rng.choice((1, 2, 3, 6, 9)))) for _ in range(14)] + [""]
+    texts = ["\n".join(rng.choices(stock, k=rng.randint(0, 9))) for _ in range(120)]
+    # the line's first holder and the nearest ones hold another line in the other order, only one between aligns it
+    one, two = "la primera línea tiene seis palabras", "la segunda también tiene seis palabras"
+    texts += [f"{one}\npropio {k}\n{two}" if k != 4 else two for k in range(9)] + [f"{two}\nfin\n{one}"]
+    got = {r.doc_id: r.text for r in Q["op7_patience_alignment"](spark, folder([extra(i, t) for i, t in enumerate(texts)])).collect()}
+    want = dict(enumerate(deduplicated(texts)))
+    assert got == want and got[len(texts) - 1] == "fin"
+
+
 @pytest.mark.parametrize(("rows", "moved"), [(line_dedup.BROADCAST_ROWS, 15), (0, 15), (0, 10_000)])
 def test_line_dedup_of_frequent_passages(spark, folder, monkeypatch, rows, moved):
     """A passage of many holders goes from all but the first, whether or not the frequent ones are broadcast."""

@@ -1,10 +1,15 @@
 """Line deduplication by pairwise alignment.
 
 Documents are paired through the hashes of passages: the shortest run of whole lines with MIN_WORDS words or more, from each line
-on and up to each line (mostly the line itself; blank lines don't count). A document is paired with NEAREST earlier holders of
-each of its passages and with the first one; a passage of FREQUENT holders pairs with the first alone, which is known to every
-task by a broadcast of a checked size. So a rare passage pairs all of its holders, copies meet through one representative, and no
-passage makes more than a fixed number of pairs for each holder.
+on and up to each line (mostly the line itself; blank lines don't count). What a document loses is what an alignment with any
+earlier holder of one of its passages takes. Not every pair has to be aligned for that:
+
+Documents with the same shared passages at the same distances lose the same to others, so the first of them stands for all, and
+each of the others, which is aligned with it, loses all that it shares with any document. The rest is done in rounds. In the first, a
+document is aligned with the first holder of each of its passages and with the NEAREST earlier ones (a passage of FREQUENT holders
+or more: with the first alone). Only lines of shared passages can be lost, so a passage whose lines are all lost needs no more
+partners; each other one goes on to its next nearest holders, WIDER times as many in each round, until its lines are lost or it has met
+all earlier holders. So no partner is left out that could take a line. A pair is aligned over all passages that both hold.
 
 Each pair is aligned by patience diff over the passages that both hold, in the order of each: equal ones at both ends are
 taken, those that occur once on both sides are anchors, of which the longest run in both orders is kept, and the same is done
@@ -17,7 +22,7 @@ A passage that is repeated in one document alone stays.
 Defined cases: a null text stays null, an empty one empty, and neither has lines; lines without a word pair nothing and stay;
 rows with the same doc_id are ordered by their place in the files, and copies among them lose their lines like others; a null
 doc_id comes after all others; an empty table gives an empty result; a very long text is held by a task in whole, with two rows a
-line at most, and its passages are sorted once for each document that it is paired with; other columns are kept, and their names
+line at most, and its common passages are sorted once for each document that it is paired with; other columns are kept, and their names
 are no matter, since working columns stand beside a struct of them.
 """
 
@@ -26,22 +31,26 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import numbered, table, text_batches, written
 
 #: Words of an aligned block that is deleted, of a moved one.
 MIN_WORDS, MOVED_WORDS = 5, 15
-#: Earlier holders of a passage, besides the first, that a document is aligned with; holders from which a passage counts as frequent;
-#: frequent passages that are broadcast at most; documents whose matches are unpacked at once.
-NEAREST, FREQUENT, BROADCAST_ROWS, UNPACKED = 3, 64, 200_000, 16
+#: Earlier holders of a passage, besides the first, that a document is aligned with at first, and how many times more in each round after
+#: it; holders from which a passage counts as frequent, so that the first alone is met at first; frequent passages that are broadcast at
+#: most; pairs whose matches are unpacked at once.
+NEAREST, WIDER, FREQUENT, BROADCAST_ROWS, UNPACKED = 3, 4, 64, 200_000, 16
 #: occ: the passage's places in the document, each with the positions among all lines, and the words, of its lines.
 PASSAGES = "row long, doc_id long, h1 long, h2 long, occ array<struct<at:int,pos:array<int>,words:array<int>>>"
+#: A line that a document loses, and the place of the earlier document that it was aligned with.
+LINES = "row long, at int, pos int, words int, e struct<last:boolean,id:long,row:long>"
 LOST = "row long, removed array<boolean>, n_removed int, words_removed long, earlier array<long>"
 
 
@@ -177,67 +186,126 @@ def common_lines(matches: list[tuple[list[tuple[int, list[Line]]], list[int]]])
 
 
 def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """LOST rows of documents (row, found: the passages that earlier documents hold, with those holders)."""
+    """LINES rows of pairs (row, e: the earlier document's place, found: all passages that both hold, with their lines in the earlier one)."""
     for whole in batches:
         for lo in range(0, whole.num_rows, UNPACKED):
-            b = whole.slice(lo, UNPACKED)
             out = []
-            for row, found in zip(b.column("row").to_pylist(), b.column("found").to_pylist(), strict=True):
-                pairs: dict[int, list] = defaultdict(list)
-                ids = {}
-                for m in found:
-                    places = [(o["at"], list(zip(o["pos"], o["words"], strict=True))) for o in m["occ"]]
-                    for e_row, e in {e["e_row"]: e for e in m["earlier"]}.items():
-                        pairs[e_row].append((places, sorted(e["e_ats"])))
-                        ids[e_row] = e["e_id"]
-                gone: dict[int, Line] = {}
-                held = set()
-                for e_row in sorted(pairs):
-                    lost = common_lines(pairs[e_row])
-                    if lost:
-                        gone.update(lost)
-                        held.add(ids[e_row])
-                if gone:
-                    mask = np.zeros(max(pos for pos, _ in gone.values()) + 1, bool)
-                    mask[[pos for pos, _ in gone.values()]] = True
-                    out.append((row, mask, len(gone), sum(n for _, n in gone.values()), sorted(held - {None})))
-            row, mask, n, words, held = zip(*out, strict=True) if out else ((),) * 5
+            for pair in whole.slice(lo, UNPACKED).to_pylist():
+                matches = [([(o["at"], list(zip(o["pos"], o["words"], strict=True))) for o in m["occ"]], sorted(m["e_ats"])) for m in pair["found"]]
+                out += [(pair["row"], at, pos, words, pair["e"]) for at, (pos, words) in common_lines(matches).items()]
+            row, at, pos, words, e = zip(*out, strict=True) if out else ((),) * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row, pa.int64()), pa.array(mask, pa.list_(pa.bool_())), pa.array(n, pa.int32()), pa.array(words, pa.int64()), pa.array(held, pa.list_(pa.int64()))],
-                [x.split()[0] for x in LOST.split(", ")],
+                [pa.array(row, pa.int64()), *(pa.array(x, pa.int32()) for x in (at, pos, words)), pa.array(e, pa.struct([("last", pa.bool_()), ("id", pa.int64()), ("row", pa.int64())]))],
+                ["row", "at", "pos", "words", "e"],
             )
 
 
+def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """LOST rows of (row, pos, n_removed, words_removed, earlier), pos as a mask of all lines up to the last one."""
+    for b in batches:
+        removed = []
+        for pos in b.column("pos").to_pylist():
+            mask = np.zeros(max(pos) + 1, bool)
+            mask[pos] = True
+            removed.append(mask)
+        yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(removed, pa.list_(pa.bool_())), *(b.column(c) for c in ("n_removed", "words_removed", "earlier"))], [x.split()[0] for x in LOST.split(", ")])
+
+
+def in_order(rows: DataFrame, *by: str) -> DataFrame:
+    """rows with g, their place in that order without gaps; a frequent value goes through as many tasks as others."""
+    placed = numbered(written(rows.orderBy(*by), "ordered")).select("doc.*", F.shiftright("row", 40).alias("_file"), F.col("row").bitwiseAND((1 << 40) - 1).alias("_n"))
+    counts, starts, at = placed.groupBy("_file").count().sort("_file").collect(), [], 0
+    for file, n in counts:
+        starts.append((file, at))
+        at += n
+    starts = rows.sparkSession.createDataFrame(starts, "_file long, _at long")
+    return placed.join(F.broadcast(starts), "_file").select(*rows.columns, (F.col("_at") + F.col("_n")).alias("g"))
+
+
+def lines_of_pairs(pairs: DataFrame, own: DataFrame, sizes: DataFrame) -> DataFrame:
+    """LINES rows of pairs (row, e): all passages that both hold, found from the one with fewer passages, and aligned."""
+    both = pairs.join(sizes, "row").join(sizes.select(F.col("row").alias("e_row"), F.col("n").alias("e_n")), F.col("e.row") == F.col("e_row"))
+    later = F.col("n") <= F.col("e_n")
+    both = both.select(F.col("row").alias("d"), "e", later.alias("later"), F.when(later, F.col("row")).otherwise(F.col("e_row")).alias("row"), F.when(later, F.col("e_row")).otherwise(F.col("row")).alias("other"))
+    mine = both.join(own, "row").select("d", "e", "later", F.col("other").alias("row"), "h1", "h2", F.col("occ").alias("mine"))
+    met = mine.join(own, ["row", "h1", "h2"])
+    occ, theirs = (F.when(F.col("later") == x, F.col("mine")).otherwise(F.col("occ")) for x in (True, False))
+    met = met.select(F.col("d").alias("row"), "e", F.struct(occ.alias("occ"), F.transform(theirs, lambda o: o["at"]).alias("e_ats")).alias("m"))
+    with text_batches(pairs.sparkSession):
+        return written(met.groupBy("row", "e").agg(F.collect_list("m").alias("found")).mapInArrow(aligned, LINES), "pair-lines")
+
+
+def with_shared_passages(found: DataFrame) -> DataFrame:
+    """row, doc_id, found (the passages that other documents hold too) and s1, s2 (a digest of what they are and where) of PASSAGES rows."""
+    keys = ["h1", "h2"]
+    shared = written(found.groupBy(*keys).agg(F.count("*").alias("holders")).filter("holders > 1"), "shared-passages")
+    frequent = shared.filter(F.col("holders") >= FREQUENT).select(*keys)
+    if frequent.count() <= BROADCAST_ROWS:
+        # rows of frequent passages are known where they are; only the others are shuffled by hash
+        others = found.join(F.broadcast(frequent), keys, "left_anti")
+        own = found.join(F.broadcast(frequent), keys).unionByName(others.join(shared.filter(F.col("holders") < FREQUENT).select(*keys), keys))
+    else:
+        own = found.join(shared.select(*keys), keys)
+    least = F.min(F.array_min(F.transform("occ", lambda o: o["at"]))).alias("least")
+    held = own.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct(*keys, "occ"))).alias("found"), least)
+    told = F.transform("found", lambda x: F.struct(x["h1"], x["h2"], F.transform(x["occ"], lambda o: o["at"] - F.col("least"))))
+    return written(held.select("row", "doc_id", "found", F.xxhash64(told).alias("s1"), F.xxhash64(F.lit(1), told).alias("s2")), "held-passages")
+
+
 def deletions(keyed: DataFrame) -> DataFrame:
     """LOST rows for keyed (row, doc_id, text): what each later document loses."""
-    with text_batches(keyed.sparkSession):
+    spark, keys = keyed.sparkSession, ["h1", "h2"]
+    with text_batches(spark):
         found = written(keyed.select("row", "doc_id", "text").mapInArrow(passage_rows, PASSAGES), "passages")
-    keys, ats = ["h1", "h2"], F.transform("occ", lambda o: o["at"]).alias("e_ats")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("e_id"), F.col("row").alias("e_row"))
-    holder = F.struct(F.col("doc_id").alias("e_id"), F.col("row").alias("e_row"), ats)
-    shared = found.groupBy(*keys).agg(F.count("*").alias("holders"), F.min(F.struct(place.alias("place"), holder.alias("e"))).alias("first")).filter("holders > 1")
-    shared = written(shared.select(*keys, "holders", F.col("first.e").alias("first")), "shared-passages")
-    frequent = shared.filter(F.col("holders") >= FREQUENT).drop("holders")
-    before = Window.partitionBy(*keys).orderBy(place).rowsBetween(-NEAREST, -1)
-
-    def with_holders(rows: DataFrame) -> DataFrame:
-        """rows (first, ...) with their earlier holders, the first and the nearest."""
-        nearest = F.collect_list(holder).over(before)
-        return rows.withColumn("earlier", F.array_append(nearest, F.col("first")))
-
-    if frequent.count() <= BROADCAST_ROWS:
-        # rows of frequent passages meet their holder where they are; only the others are shuffled by hash
-        met = found.join(F.broadcast(frequent), keys).withColumn("earlier", F.array("first"))
-        others = found.join(F.broadcast(frequent.select(*keys)), keys, "left_anti")
-        rare = others.join(shared.filter(F.col("holders") < FREQUENT).drop("holders"), keys)
-        matches = met.unionByName(with_holders(rare))
-    else:
-        met = found.join(frequent, keys).withColumn("earlier", F.array("first"))
-        matches = met.unionByName(with_holders(found.join(shared.filter(F.col("holders") < FREQUENT).drop("holders"), keys)))
-    matches = matches.filter(F.col("row") != F.col("first.e_row"))
-    by_row = matches.groupBy("row").agg(F.collect_list(F.struct("occ", "earlier")).alias("found"))
-    with text_batches(keyed.sparkSession):
-        return written(by_row.mapInArrow(aligned, LOST), "lost-lines")
+    held = with_shared_passages(found)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
+
+    # documents that share the same passages at the same distances: the first stands for all, the others are aligned with it alone
+    tops = held.groupBy("s1", "s2").agg(F.min(place).alias("e"), F.count("*").alias("members")).filter("members > 1").drop("members")
+    copies = written(held.select("row", "s1", "s2").join(tops, ["s1", "s2"]).filter("row != e.row").select("row", "e"), "copies")
+    same = F.transform("found", lambda x: F.struct(x["occ"].alias("occ"), F.transform(x["occ"], lambda o: o["at"]).alias("e_ats")))
+    with text_batches(spark):
+        lost = [written(held.join(copies, "row").select("row", "e", same.alias("found")).mapInArrow(aligned, LINES), "copied-lines")]
+    firsts = held.join(copies, "row", "left_anti")
+    own = written(firsts.select("row", "doc_id", F.explode("found").alias("x")).select("row", "doc_id", "x.*"), "own-passages")
+    sizes = own.groupBy("row").agg(F.count("*").alias("n"))
+
+    # holders of each passage in a row; at first the first holder and the nearest ones
+    ranked = in_order(own.select(*keys, place.alias("e")), *keys, "e")
+    starts = ranked.groupBy(*keys).agg(F.min(F.struct("g", "e")).alias("first"), F.count("*").alias("holders")).filter("holders > 1")
+    ranked = written(ranked.join(starts, keys).select(*keys, "e", "g", F.col("e.row").alias("row"), F.col("first.g").alias("start"), F.col("first.e").alias("first"), "holders"), "ranked-passages")
+    open_ = ranked.filter("g > start").select("row", *keys, "g", "start", F.lit(0).alias("done"), F.when(F.col("holders") < FREQUENT, NEAREST).otherwise(0).alias("most"))
+    at_g = ranked.select("g", "e")
+    pairs = ranked.filter("g > start").select("row", F.col("first").alias("e"))
+    tried = None
+    most = NEAREST
+    while True:
+        # holders beyond the first, from the nearest not yet met on; the first has its own pair
+        end = F.least(F.col("done") + F.col("most"), F.col("g") - F.col("start") - 1)
+        wanted = open_.filter(end > F.col("done")).select("row", F.explode(F.sequence(F.col("done") + 1, end)).alias("k"), "g").select("row", (F.col("g") - F.col("k")).alias("g"))
+        near = wanted.join(at_g, "g").select("row", "e")
+        pairs = (near if pairs is None else near.unionByName(pairs)).distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried.select("row", "e"), ["row", "e"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        lost.append(lines_of_pairs(pairs, own, sizes))
+        # a passage whose lines are all lost has nothing more to lose; the others go on to their next holders until there are none
+        left = open_.withColumn("done", end).filter(F.col("done") < F.col("g") - F.col("start") - 1).select("row", *keys, "g", "start", "done")
+        lines = F.flatten(F.transform("occ", lambda o: F.sequence(o["at"], o["at"] + F.size(o["pos"]) - 1)))
+        gone = _union(lost).select("row", "at").distinct()
+        stays = left.select("row", *keys).join(own, ["row", *keys]).select("row", *keys, F.explode(lines).alias("at")).join(gone, ["row", "at"], "left_anti").select("row", *keys).distinct()
+        most *= WIDER
+        open_ = written(left.join(stays, ["row", *keys]).withColumn("most", F.lit(most)), "open-passages")
+        if open_.isEmpty():
+            break
+        pairs = None
+    lines = _union(lost).groupBy("row", "at").agg(F.min("pos").alias("pos"), F.min("words").alias("words"), F.min("e").alias("e"))
+    by_row = lines.groupBy("row").agg(F.collect_list("pos").alias("pos"), F.count("*").cast("int").alias("n_removed"), F.sum("words").alias("words_removed"), F.sort_array(F.collect_set("e.id")).alias("earlier"))
+    with text_batches(spark):
+        return written(by_row.mapInArrow(masks, LOST), "lost-lines")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
