@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 import pytest
@@ -581,6 +582,27 @@ def test_near_dedup_stage_links_by_shingles(spark, folder, monkeypatch, few):
     assert got == set(root)
 
 
+@pytest.mark.parametrize("crossing", [False, True])
+def test_near_dedup_searches_by_vantage_points(monkeypatch, crossing):
+    """A shard's candidates are those of all pairs, and groups of near copies aren't compared with each other."""
+    from tidewell.llm import near_copies
+
+    rng, compared, close = np.random.default_rng(8), [], near_copies.close
+    monkeypatch.setattr(near_copies, "close", lambda a, b: compared.append(len(a) * len(b)) or close(a, b))
+    bits = np.repeat(rng.integers(0, 2, (6, 256), np.uint8), 250, axis=0) ^ (rng.random((1500, 256)) < rng.choice((0.01, 0.03, 0.06), (1500, 1)))
+    bits = np.concatenate((bits, rng.integers(0, 2, (100, 256), np.uint8)))[rng.permutation(1600)]
+    fp = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    size = np.sort(rng.integers(90, 120, 1600))
+    rows = pd.DataFrame({"size": size, "group": rng.integers(0, 1000, 1600), "side": np.arange(1600) % 2 if crossing else 0} | {c: fp[:, k].view(np.int64) for k, c in enumerate(near_copies.PRINT)})
+    got = [tuple(x) for block in near_copies.near_blocks(rows, crossing) for x in block.T.tolist()]
+    d = np.bitwise_count(fp[:, None] ^ fp[None, :])
+    near = (d.sum(axis=2, dtype=int) <= near_copies.RADIUS) & (d[:, :, 0] <= near_copies.FIRST) & (rows.group.values[:, None] != rows.group.values) & (5 * np.minimum(size[:, None], size) >= 4 * np.maximum(size[:, None], size))
+    own = (rows.side.values[:, None] == 0) & (rows.side.values == 1) if crossing else np.triu(np.ones_like(near), 1)
+    want = {(i, j, d[i, j].sum(dtype=int)) for i, j in np.argwhere(near & own)}
+    assert Counter((*((i, j) if crossing else sorted((i, j))), b) for i, j, b in got) == Counter(want)
+    assert sum(compared) < own.sum() / 2
+
+
 def test_stages_keep_columns_they_don_t_know(spark, edge):
     import corpus_pipeline
 

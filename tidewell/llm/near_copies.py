@@ -4,8 +4,12 @@ Two sets with similarity 0.8 share one of their prefixes, the fifth (and one mor
 texts meet under the hashes of their prefixes, and nothing else is compared. Keys with the same texts count once. What meets is
 sorted out by SimHash over the distinct shingles, 256 bits wide: two sets with similarity 0.8 differ in about 39 bits (48 for the
 smallest ones, four shingles and five), texts with nothing in common in 128; RADIUS lies beyond the one by more than three standard
-deviations and below the other by seven. At such a radius vantage points prune nothing, which is why the prefixes do. Keys of up to
-FEW texts are joined with themselves; a key of more is dealt into shards of bounded size, and a shard returns a spanning forest.
+deviations and below the other by seven. At such a radius vantage points can't tell apart texts that have nothing in common, which is
+why the prefixes, and not the upper levels of a tree, name the shards. Within a shard the search is a vantage-point tree: a node takes
+one of its own texts as vantage point and the distance from it that leaves least to compare; pairs across that distance lie, by the
+triangle inequality, in the two bands within RADIUS of it. So a group of near copies is told from others without comparing them, and no
+pair within RADIUS is lost. Nodes of few pairs, and those that no vantage point splits, compare outright. Keys of up to FEW texts are
+leaves, joined with themselves; a key of more is dealt into shards of bounded size, and a shard returns a spanning forest.
 
 A candidate is linked only after its shingles themselves have been compared. At first only the forest of a large key's candidates
 is, nearest pairs first; where each of its pairs holds, the group is settled, so that a group of many near copies costs as many
@@ -35,6 +39,9 @@ SHINGLE, SIMILAR, SEED = 5, (4, 5), 42
 WORDS, FIRST, RADIUS = 4, 24, 70
 #: Texts of a key that is joined with itself; members of a part of which two make a shard, without and with their texts.
 FEW, GROUP, OPEN_GROUP = 32, 20_000, 10_000
+#: Pairs that a node of the vantage-point tree compares outright; vantage points tried for a node, and the part of its comparisons that a
+#: split may leave at most.
+LEAF, VANTAGES, WORTH = 1 << 16, 3, 0.9
 #: Pairs compared at once; candidates held before they are thinned out to a forest.
 BLOCK, HELD = 1 << 20, 1 << 20
 PRINT = [f"f{k}" for k in range(WORDS)]
@@ -120,27 +127,69 @@ def forest(n: int, i: np.ndarray, j: np.ndarray, d: np.ndarray) -> np.ndarray:
             root = up
 
 
+def split(fp: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray | None]] | None:
+    """The parts of a node of the vantage-point tree, which hold all its pairs within RADIUS, each once; None where no vantage point and
+    distance tried leaves much less to compare. a, b: places, b None where pairs within a are looked for."""
+    best, whole = None, len(a) * len(a) / 2 if b is None else len(a) * len(b)
+    for k in range(1, VANTAGES + 1):
+        v = fp[a[len(a) * k // (VANTAGES + 1)]]
+        da, db = (None if x is None else np.bitwise_count(fp[x] ^ v).sum(axis=1, dtype=np.int64) for x in (a, b))
+        # up to each distance: how many are near, how many of these within RADIUS of the far side, and the reverse
+        mid = np.arange(64 * WORDS + 1)
+        near, inner, outer = zip(*([np.searchsorted(d, at, "right") for at in (mid, mid - RADIUS, mid + RADIUS)] for x in (da, db) if x is not None for d in [np.sort(x)]), strict=True)
+        n, edge, beyond = near[0], near[0] - inner[0], outer[0] - near[0]
+        if b is None:
+            cost = n * n / 2 + (len(a) - n) ** 2 / 2 + edge * beyond
+        else:
+            m, edge_b, beyond_b = near[1], near[1] - inner[1], outer[1] - near[1]
+            cost = n * m + (len(a) - n) * (len(b) - m) + edge * beyond_b + beyond * edge_b
+        at = int(np.argmin(cost))
+        if cost[at] <= WORTH * whole and (best is None or cost[at] < best[0]):
+            best = cost[at], at, da, db
+    if best is None:
+        return None
+    _, mid, da, db = best
+    na, edge, beyond = da <= mid, da > mid - RADIUS, da <= mid + RADIUS
+    if b is None:
+        return [(a[na], None), (a[~na], None), (a[na & edge], a[~na & beyond])]
+    nb, edge_b, beyond_b = db <= mid, db > mid - RADIUS, db <= mid + RADIUS
+    return [(a[na], b[nb]), (a[~na], b[~nb]), (a[na & edge], b[~nb & beyond_b]), (a[~na & beyond], b[nb & edge_b])]
+
+
+def leaves(fp: np.ndarray, a: np.ndarray, b: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Left and right places, the same where pairs within them are meant, that are compared outright."""
+    nodes = [(a, b)]
+    while nodes:
+        a, b = nodes.pop()
+        right = a if b is None else b
+        if len(a) and len(right) and (b is not None or len(a) > 1):
+            parts = split(fp, a, b) if len(a) * len(right) > LEAF else None
+            if parts is None:
+                yield a, right
+            else:
+                nodes += parts
+
+
 def near_blocks(rows: pd.DataFrame, crossing: bool) -> Iterator[np.ndarray]:
     """Left places, right places and bits of the candidates of different groups among a shard's rows (size, group, side, fingerprint),
-    sorted by size, in blocks."""
+    sorted by size, in blocks: a vantage-point tree over the fingerprints says what is compared."""
     size, group = (rows[c].to_numpy(np.int64) for c in ("size", "group"))
     fp, side = rows[PRINT].to_numpy(np.int64).view(np.uint64), rows["side"].to_numpy()
-    left = np.nonzero(side == 0)[0]
-    right = np.nonzero(side == 1)[0] if crossing else left
-    at = 0
-    while at < len(left) and len(right):
-        own = left[at : at + max(1, BLOCK // len(right))]
-        at += len(own)
-        lo = -(-size[own[0]] * SIMILAR[0] // SIMILAR[1])
-        window = right[np.searchsorted(size[right], lo) : np.searchsorted(size[right], size[own[-1]] * SIMILAR[1] // SIMILAR[0], "right")]
-        if not crossing:
-            window = window[window > own[0]]
-        i, j, d = close(fp[own], fp[window])
-        i, j = own[i], window[j]
-        ok = (group[i] != group[j]) & (np.minimum(size[i], size[j]) * SIMILAR[1] >= np.maximum(size[i], size[j]) * SIMILAR[0])
-        if not crossing:
-            ok &= i < j
-        yield np.stack((i[ok], j[ok], d[ok]))
+    for left, right in leaves(fp, np.nonzero(side == 0)[0], np.nonzero(side == 1)[0] if crossing else None):
+        at = 0
+        while at < len(left):
+            own = left[at : at + max(1, BLOCK // len(right))]
+            at += len(own)
+            lo = -(-size[own[0]] * SIMILAR[0] // SIMILAR[1])
+            window = right[np.searchsorted(size[right], lo) : np.searchsorted(size[right], size[own[-1]] * SIMILAR[1] // SIMILAR[0], "right")]
+            if right is left:
+                window = window[window > own[0]]
+            i, j, d = close(fp[own], fp[window])
+            i, j = own[i], window[j]
+            ok = (group[i] != group[j]) & (np.minimum(size[i], size[j]) * SIMILAR[1] >= np.maximum(size[i], size[j]) * SIMILAR[0])
+            if right is left:
+                ok &= i < j
+            yield np.stack((i[ok], j[ok], d[ok]))
 
 
 def spanning(rows: pd.DataFrame, blocks: Iterator[np.ndarray]) -> pd.DataFrame:
