@@ -19,8 +19,8 @@ PHASES = P.sql(f"{CONFIRMED} SELECT call_id, alarm_id AS id, 'alarm' AS phase FR
 
 
 def spoken_stream(spark, d) -> DataFrame:
-    """plans.triage.spoken as a stream."""
-    c = files(spark, f"{d}/conversations.parquet")
+    """plans.triage.spoken as a stream; the table's files are in no order of time, so they come together."""
+    c = files(spark, f"{d}/conversations.parquet", each=None)
     r = F.col("role")
     turns = c.select(F.col("conv_id").alias("call_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.timestamp_seconds(F.col("conv_id") * 60 + F.col("turn")).alias("at"), F.when(r == "user", "patient").when(r == "assistant", "agent").otherwise("system").alias("role"), F.col("text").alias("content"))
     said = F.element_at(F.array(*(F.lit(s[0]) for s in P.SENTENCES)), (F.pmod(F.col("id") + F.col("call_id"), F.lit(len(P.SENTENCES))) + 1).cast("int"))
