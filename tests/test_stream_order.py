@@ -20,7 +20,7 @@ def backwards(spark, tmp_path_factory):
     return at
 
 
-@pytest.mark.parametrize("name", ["st9"])
+@pytest.mark.parametrize("name", ["st9", "st9_late"])
 def test_files_in_any_order_of_time(spark, backwards, name):
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{backwards}/conversations.parquet/*.parquet'")
