@@ -26,11 +26,8 @@ def uploads(spark, d) -> DataFrame:
 def sc1(spark, d) -> DataFrame:
     """The documents written as text files, one folder a source, and enumerated again."""
     at = folder(spark)
-    docs = S.docs(spark, d).select("filename", "text")
-    docs.write.partitionBy("filename").option("lineSep", "\x01").text(at)
-    found = L.corpus_files(spark, at, "*.txt")
-    source = F.concat(F.regexp_extract("path", "filename=([^/]*)/", 1), F.lit(".txt"))
-    texts = found.select(source.alias("name"), F.explode(F.split(F.col("content").cast("string"), "\x01")).alias("text")).filter("text != ''")
+    L.write_texts(S.docs(spark, d).select(F.col("filename").alias("name"), "text"), at)
+    texts = L.read_texts(spark, at).select(F.concat("name", F.lit(".txt")).alias("name"), "text")
     return texts.groupBy("name").agg(F.count("*").alias("files"), F.sum(F.octet_length("text") + 1).alias("size_bytes"))
 
 

@@ -28,6 +28,28 @@ def text_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+#: What ends each text in a file of texts; what stands before a letter for it, for itself, and for no text at all; texts of a file.
+END, ESCAPE, FILE_TEXTS = "\x01", "\x02", 1_000
+
+
+def write_texts(texts: DataFrame, folder: str) -> None:
+    """Texts (name, text) as text files of at most FILE_TEXTS each, in a folder for each name; any text, none, and any name come back."""
+    framed = F.replace(F.replace("text", F.lit(ESCAPE), F.lit(f"{ESCAPE}e")), F.lit(END), F.lit(f"{ESCAPE}n"))
+    # no name and an empty one would share a folder
+    named = texts.select(F.coalesce(F.concat(F.lit("s"), "name"), F.lit("n")).alias("name"), F.coalesce(framed, F.lit(f"{ESCAPE}0")).alias("text"))
+    named.write.partitionBy("name").option("lineSep", END).option("maxRecordsPerFile", FILE_TEXTS).text(folder)
+
+
+def read_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """name, text of what write_texts() wrote, empty texts and nulls among them."""
+    escaped = F.regexp_extract("path", "/name=([^/]*)/[^/]*$", 1)
+    known = F.url_decode(F.replace(escaped, F.lit("+"), F.lit("%2B")))
+    parts = F.split(F.col("content").cast("string"), END)
+    whole = corpus_files(spark, folder, "*.txt").select(known.alias("known"), F.explode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("t"))
+    text = F.replace(F.replace("t", F.lit(f"{ESCAPE}n"), F.lit(END)), F.lit(f"{ESCAPE}e"), F.lit(ESCAPE))
+    return whole.select(F.when(F.col("known") != "n", F.expr("substring(known, 2)")).alias("name"), F.when(F.col("t") != f"{ESCAPE}0", text).alias("text"))
+
+
 def _lookup(key: Column, table: dict[str, str]) -> Column:
     out = F.lit(None).cast("string")
     for k, v in table.items():
