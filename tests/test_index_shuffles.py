@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from tidewell.operators import index as I
 
-NAMES = ["ix4_top", "rt2", "ix2"]
+NAMES = ["ix4_top", "rt2", "ix2", "ev3"]
 
 
 @pytest.fixture(scope="module")
