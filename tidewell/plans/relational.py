@@ -92,10 +92,10 @@ def pr7(spark, d) -> DataFrame:
 @query("jn1", with_tables("docs lines", "SELECT l.document_id, l.line_no AS ordinal, l.content, d.filename FROM lines l JOIN docs d ON d.id = l.document_id AND d.status = 'ready'"))
 def jn1(spark, d) -> DataFrame:
     """Every line of the ready documents: all have vectors."""
-    from tidewell.operators.retrieval import retrievable
+    from tidewell.operators.retrieval import ready, retrievable
     from tidewell.plans.retrieval import chunks
 
-    return retrievable(chunks(spark, d), S.docs(spark, d)).select("document_id", "ordinal", "content", "filename")
+    return retrievable(chunks(spark, d), ready(S.docs(spark, d))).select("document_id", "ordinal", "content", "filename")
 
 
 @query("jn2", with_tables("patients surgeries", """
