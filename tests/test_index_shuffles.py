@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from tidewell.operators import index as I
 
-NAMES = ["ix4_top", "rt2", "ix2", "ev3", "jn1", "jn9"]
+NAMES = ["ix4_top", "rt2", "ix2", "ev3", "jn1", "jn9", "jn13"]
 
 
 @pytest.fixture(scope="module")
