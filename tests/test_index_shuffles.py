@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from tidewell.operators import index as I
 
-NAMES = ["ix4_top", "rt2", "ix2", "ev3", "jn1", "jn9", "jn13", "rt3", "rt6", "rt4", "rt5", "ev2"]
+NAMES = ["ix4_top", "rt2", "ix2", "ev3", "jn1", "jn9", "jn13", "rt3", "rt6", "rt4", "rt5", "ev2", "ev5"]
 
 
 @pytest.fixture(scope="module")
